@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, common, mixing, packing
+from palimpsest.llm import audio, common, fingerprint, mixing, neardup, packing
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,17 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.encode(common.table(spark, sf_dir, "documents"), keep_media=False).drop("seek")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(common.table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op6_media_columns, op8_mixing)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("keep") == F.col("row")).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}

@@ -2,4 +2,50 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from palimpsest.llm import fingerprint
+
+
+def _prints(entries: str, plain: str) -> str:
+    subsets = " || '-' || ".join(f"coalesce(substr(md5(string_agg(CASE WHEN mask & {1 << k} <> 0 THEN h END, '' ORDER BY h)), 1, 12), '_')" for k in range(len(fingerprint.SUBSETS)))
+    return f"CASE WHEN count(h) = 0 THEN array_to_string(list_resize([first({plain})], {len(fingerprint.SUBSETS)}, first({plain})), '-') ELSE {subsets} END AS {entries}"
+
+
+def _likeness(a: str, b: str) -> str:
+    pairs = f"list_filter(list_zip(string_split({a}, '-'), string_split({b}, '-')), lambda x: x[1] <> '_' OR x[2] <> '_')"
+    return f"CASE WHEN len({pairs}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({pairs}, lambda x: x[1] = x[2]))::DOUBLE / len({pairs}) END"
+
+
+_MASK = " + ".join(f"CASE WHEN ('0x' || substr(md5('{k}:' || term), 1, 8))::BIGINT < {int(share * 2**32)} THEN {1 << k} ELSE 0 END" for k, share in enumerate(fingerprint.SUBSETS))
+
+OP7 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), ordered AS (
+  SELECT *, coalesce(lead(doc_id) OVER w, min(doc_id) OVER ()) AS next_id,
+         coalesce(lead(text) OVER w, first_value(text) OVER (ORDER BY doc_id)) AS next_text
+  FROM docs WINDOW w AS (ORDER BY doc_id)
+), edits AS (
+  SELECT doc_id, n, next_id, text, substr(text, 1, (n - n // 4)::BIGINT) || substr(next_text, 1, (n // 4)::BIGINT) AS edited FROM ordered
+), sides AS (
+  SELECT doc_id, 0 AS side, text AS t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits
+), words AS (
+  SELECT doc_id, side, list_distinct(list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS terms FROM sides
+), counts AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM words WHERE side = 0) GROUP BY term
+), lexicon AS (
+  SELECT term, substr(md5(term), 1, 16) AS h, {_MASK} AS mask FROM counts
+  WHERE n >= {fingerprint.LOW} * (SELECT count(*) FROM documents) AND n <= greatest({fingerprint.HIGH} * (SELECT count(*) FROM documents), 1)
+), plain AS (
+  SELECT doc_id, side, CASE WHEN len(terms) = 0 THEN '_' ELSE substr(md5(array_to_string(list_sort(terms), ' ')), 1, 12) END AS plain FROM words
+), hits AS (
+  SELECT doc_id, side, h, mask FROM (SELECT doc_id, side, unnest(terms) AS term FROM words) JOIN lexicon USING (term)
+), prints AS (
+  SELECT p.doc_id, p.side, {_prints('print', 'plain')} FROM plain p LEFT JOIN hits h ON p.doc_id = h.doc_id AND p.side = h.side GROUP BY p.doc_id, p.side
+)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+       {_likeness('a.print', 'b.print')} AS near_edited, {_likeness('a.print', 'c.print')} AS near_next
+FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.side = 1
+JOIN prints c ON c.doc_id = e.next_id AND c.side = 0
+"""
+
+SQL: dict[str, str] = {"op7_document_fingerprints": OP7}
