@@ -1,12 +1,52 @@
-"""The corpus pipeline: quality, near-duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: low quality goes, one of each group of near-duplicates stays, secrets are
+masked, sources are mixed to target weights, and what is left is packed into sequences.
+
+Every stage takes all its predecessor kept. All but the last return the columns of ``documents``;
+the mix repeats or drops documents as its targets ask, so its rows may repeat.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import common, mixing, neardup, packing, quality, secrets
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.shards(docs).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("minhash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No SQL: the classifier, the verification of near-duplicates, the network and the packing are not SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = common.stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -188,9 +188,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return made.apply(sizes, size_col="size", source_col="source").drop("doc")
 
 
-def shards(docs: DataFrame, **options) -> DataFrame:
+def shards(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: all columns of ``docs``, a row for each copy, with ``_shard``; dealt by shard and shuffled inside."""
-    made, _ = plan(docs, **options)
-    names = {k: options.get(k, k.removesuffix("_col")) if k != "id_col" else options.get(k, "doc_id") for k in ("id_col", "source_col", "text_col")}
+    names = {"id_col": id_col, "source_col": source_col, "text_col": text_col}
+    made, _ = plan(docs, **names, **options)
     rows = made.apply(docs, **names).select("doc", "doc_id", F.posexplode("shards").alias("copy", "_shard"))
     return rows.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(made.seed + 2), "doc_id", "copy")).select("doc.*", "_shard")

@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, common, fingerprint, mixing, neardup, packing
+from palimpsest.llm import audio, common, fingerprint, mixing, neardup, packing, quality, secrets
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents")).drop("found")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.encode(common.table(spark, sf_dir, "documents"), keep_media=False).drop("seek")
 
@@ -31,4 +40,4 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("keep") == F.col("row")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}
