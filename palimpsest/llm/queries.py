@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, common, fingerprint, mixing, neardup, packing, quality, secrets
+from palimpsest.llm import audio, common, fingerprint, licenses, mixing, neardup, packing, quality, secrets, tokens
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(common.table(spark, sf_dir, "documents"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.encode(common.table(spark, sf_dir, "documents"), keep_media=False).drop("seek")
 
@@ -40,4 +48,4 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("keep") == F.col("row")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_token_counts, op5_license_scans, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import fingerprint
+from palimpsest.llm import fingerprint, licenses
 
 
 def _prints(entries: str, plain: str) -> str:
@@ -48,4 +48,25 @@ FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0 JOIN prints b O
 JOIN prints c ON c.doc_id = e.next_id AND c.side = 0
 """
 
-SQL: dict[str, str] = {"op7_document_fingerprints": OP7}
+def _shingles(words: str) -> str:
+    return f"list_transform(range(len({words}) - {licenses.SHINGLE - 1}), lambda i: array_to_string({words}[i + 1 : i + {licenses.SHINGLE}], ' '))"
+
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+#: Every document against every template, without bands.
+OP5 = f"""
+WITH templates AS (
+  SELECT name, list_distinct({_shingles('w')}) AS own FROM (SELECT name, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) AS t(name, text))
+), docs AS (
+  SELECT doc_id, {_shingles('w')} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= {licenses.SHINGLE}
+), pairs AS (
+  SELECT doc_id, name, s, len(own) AS n, list_intersect(own, s) AS held FROM docs, templates
+)
+SELECT doc_id, name AS template, len(held)::DOUBLE / n AS containment,
+       list_min(list_transform(held, lambda h: list_position(s, h)))::BIGINT - 1 AS first_word
+FROM pairs WHERE len(held)::DOUBLE / n >= {licenses.CONTAINMENT}
+"""
+
+SQL: dict[str, str] = {"op5_license_scans": OP5, "op7_document_fingerprints": OP7}
