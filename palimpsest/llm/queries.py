@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import audio, common, fingerprint, licenses, mixing, neardup, packing, quality, secrets, tokens
+from palimpsest.llm import audio, chat, common, fingerprint, licenses, mixing, neardup, packing, quality, secrets, tokens
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +48,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("keep") == F.col("row")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_token_counts, op5_license_scans, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traffic = chat.as_tool_traffic(common.table(spark, sf_dir, "conversations"))
+    return chat.link(traffic, chat.RESPOND)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_token_counts, op5_license_scans, op6_media_columns, op7_document_fingerprints, op8_mixing, op9_minhash_near_dedup, op10_chat_formatting)}

@@ -69,4 +69,26 @@ SELECT doc_id, name AS template, len(held)::DOUBLE / n AS containment,
 FROM pairs WHERE len(held)::DOUBLE / n >= {licenses.CONTAINMENT}
 """
 
-SQL: dict[str, str] = {"op5_license_scans": OP5, "op7_document_fingerprints": OP7}
+#: Turns are unique in a conversation, so an item's position is its rank by turn.
+OP10 = """
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, to_json(coalesce(text, ''))::VARCHAR AS q FROM conversations
+), linked AS (
+  SELECT a.*, b.role AS prior, c.role AS following
+  FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 LEFT JOIN m c ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn,
+       CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role,
+       CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+       CASE role WHEN 'user' THEN turn::VARCHAR WHEN 'assistant' THEN (turn - 1)::VARCHAR END AS call_id,
+       CASE role WHEN 'user' THEN CASE WHEN following = 'assistant' THEN 'linked' ELSE 'unanswered' END
+                 WHEN 'assistant' THEN CASE WHEN prior = 'user' THEN 'linked' ELSE 'orphan' END ELSE 'message' END AS status,
+       CASE WHEN role = 'user' THEN text <> '' END AS valid,
+       CASE WHEN role = 'user' AND text = '' THEN '$.prompt: too short' END AS error,
+       CASE role WHEN 'user' THEN '{"arguments":{"prompt":' || q || ',"turn":' || turn || '},"id":"' || turn || '","name":"respond","role":"user"}'
+                 WHEN 'assistant' THEN '{"content":' || q || ',"role":"tool","tool_call_id":"' || (turn - 1) || '"}'
+                 ELSE '{"content":' || q || ',"role":' || to_json(role)::VARCHAR || '}' END AS json
+FROM linked
+"""
+
+SQL: dict[str, str] = {"op10_chat_formatting": OP10, "op5_license_scans": OP5, "op7_document_fingerprints": OP7}
