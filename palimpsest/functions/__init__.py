@@ -1 +1 @@
-
+"""Column functions: keys, row text, hashes."""

@@ -1 +1 @@
-
+"""Operators on snapshots, as compositions of DataFrame operations."""

@@ -1 +1 @@
-
+"""Where snapshots come from and go to."""
