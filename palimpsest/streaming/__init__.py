@@ -1 +1 @@
-
+"""Streams into and out of a repository."""
