@@ -36,6 +36,8 @@ SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 1 << 22
+#: Documents of a split block among which the last words are looked for exactly.
+LAST = 64
 #: numpy's hypergeometric draw takes populations under 10^9: blocks grow beyond this many.
 MOST_UNITS = 1 << 28
 #: One row a source goes to the driver and to every shard's task; more sources than this are refused.
@@ -83,19 +85,35 @@ def shard_quotas(units: np.ndarray, shards: int, shard: int, seed: int) -> tuple
     return first, counts
 
 
+def nearest_subset(words: list[int], rest: float) -> list[int]:
+    """Places of numbers whose sum is as near to ``rest`` as any subset's. Bit s of a set tells that some subset so far has sum s."""
+    reached, before, limit = 1, [], (1 << int(2 * rest) + 1) - 1  # sums beyond are no better than none
+    for n in words:
+        before.append(reached)
+        reached |= reached << n & limit
+    floor = int(rest)
+    best = (reached & (1 << floor + 1) - 1).bit_length() - 1
+    if above := reached >> floor + 1:
+        over = floor + (above & -above).bit_length()
+        best = over if over - rest < rest - best else best
+    out = []
+    for i in range(len(words) - 1, -1, -1):
+        if not before[i] >> best & 1:
+            out.append(i)
+            best -= words[i]
+    return out
+
+
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block whose words come near ``rest``: in hash order what still fits, then one more if that is nearer."""
+    """Documents of one block whose words come near ``rest``: in hash order what fits, and of the last ``LAST`` the best subset for what is left."""
     rows = rows.sort_values(["turn", "doc_id", "size"], kind="stable", ignore_index=True)
-    words, rest = rows["words"].to_numpy(np.int64), float(rows["rest"].iloc[0])
-    taken = np.zeros(len(rows), bool)
-    for i, n in enumerate(words.tolist()):
-        if n <= rest:
+    words, rest = rows["words"].to_list(), float(rows["rest"].iloc[0])
+    split, taken = max(0, len(rows) - LAST), np.zeros(len(rows), bool)
+    for i in range(split):
+        if words[i] <= rest:
             taken[i] = True
-            rest -= n
-    if (~taken).any():
-        over = np.where(taken, np.inf, words - rest)
-        if over.min() < rest:
-            taken[int(over.argmin())] = True
+            rest -= words[i]
+    taken[[split + i for i in nearest_subset(words[split:], rest)]] = True
     return rows.loc[taken, ["src", "doc_id", "size"]]
 
 
@@ -172,7 +190,9 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         for frame in frames:
             for shard in frame["id"]:
                 first, n = shard_quotas(counts, shards, int(shard), seed)
-                yield pd.DataFrame({"src": names, "shard": int(shard), "first": first, "n": n}).query("n > 0")
+                held = np.flatnonzero(n)
+                if len(held):
+                    yield pd.DataFrame({"src": [names[i] for i in held], "shard": int(shard), "first": first[held], "n": n[held]})
 
     quotas = spark.range(shards).mapInPandas(leaf, "src string, shard long, first long, n long")
     owners = quotas.select("src", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("unit"))
