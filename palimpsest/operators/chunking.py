@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from palimpsest.functions import hashes
 from palimpsest.sources.staging import cut
 
-#: Bytes of entries that one task folds.
-PARTITION_BYTES = 64 << 20
+#: Bytes of entries that one task folds at most, and what is worth a task of its own while cores are idle.
+PARTITION_BYTES, WORTHWHILE_BYTES = 64 << 20, 2 << 20
 #: Up to so many nodes a level is folded on the driver; beyond, like the entries.
 DRIVER_NODES = 200_000
 CHILD_HASH_BYTES = 16
@@ -84,7 +84,7 @@ def assign(rows: DataFrame, spec: Spec) -> DataFrame:
     each evaluation.
     """
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // PARTITION_BYTES))
+    parts = max(1, -(-int(total) // PARTITION_BYTES), min(rows.sparkSession.sparkContext.defaultParallelism, int(total) // WORTHWHILE_BYTES))
     placed = rows.repartitionByRange(parts, "_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
     placed = cut(placed)
     narrow = placed.select("_part", "_pos", "_size", "_mark")
