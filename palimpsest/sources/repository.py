@@ -38,6 +38,7 @@ MANIFEST = "table string, leaf_hash string, ord long, first_key string, last_key
 INDEX = "leaf_hash string, write string, write_ord long, n_entries long"
 #: Manifest rows are under 500 bytes; a selection of more leaves is joined by shuffle.
 BROADCAST_LEAVES = 20_000
+LEAVES_PER_FILE = 250_000
 INTERNAL = ("_key", "_ord")
 
 
@@ -404,7 +405,7 @@ class Repository:
             edges = edges.unionByName(old.join(graph.reachable(old.select(F.col("parent_hash").alias("parent"), F.col("child_hash").alias("child")), kept.select(F.col("root").alias("node"))).withColumnRenamed("node", "parent_hash"), "parent_hash", "left_semi").select(edges.columns)) if not old.isEmpty() and not kept.isEmpty() else edges
         root = chunking.node_hash(["snapshot", *[part for n in sorted(tables) for part in (n, tables[n].described(), tables[n].schema.json(), tables[n].root)]])
         if not self.files.exists(f"snapshots/{root}.json"):
-            manifest.coalesce(max(1, manifest.rdd.getNumPartitions() // 32)).write.mode("overwrite").parquet(self.files.path(f"manifests/{root}"))
+            manifest.coalesce(1 + manifest.count() // LEAVES_PER_FILE).write.mode("overwrite").parquet(self.files.path(f"manifests/{root}"))
             edges.distinct().coalesce(1 if not draft.base else 4).write.mode("overwrite").parquet(self.files.path(f"trees/{root}"))
             self.files.create(f"snapshots/{root}.json", json.dumps({n: t.to_json() for n, t in tables.items()}))
         return root
