@@ -11,10 +11,13 @@ Texts that agree in all six registers of one of 32 bands are candidates: at J_P
 missed with probability (1 - 0.8^6)^32 < 1e-4. Candidates are verified by their exact J_P.
 
 No group is expanded into pairs. Equal texts are one node. A bucket's least node is its leader, and
-all others are verified against it. Those that aren't linked with the leader's component are then
-verified against the rest of the bucket, but for what the triangle inequality of the distance
-1 - J_P rules out: |J_P(leader, x) - J_P(leader, y)| > 0.2. So every candidate pair is verified,
-joined through others, or excluded, and classes are exact for the candidates.
+all others are verified against it. For a turn (or more, by a constant), those outside their leader's component
+(strays) are verified against one row drawn from inside and one from outside of it in each bucket, and
+components are joined; a turn costs as many pairs as there are strays. The strays that stay are
+compared with all their buckets in blocks: a task gets bounded numbers of strays and of other rows,
+counts common shingles by an inverted index, and returns one link for each stray and component. So
+every candidate pair is verified or its ends are joined through others, and classes are exact for
+the candidates.
 
 Null and empty texts, and texts of white space, have no shingles: they are near only to equal texts
 (null counts as empty). Repeated rows are equal texts. Null ids are kept; a class of them alone has
@@ -37,6 +40,10 @@ from palimpsest.llm.components import components
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
+#: Turns in which strays are verified against drawn rows, before all of them are compared in blocks.
+PROBES = 1
+#: Strays and rows that a block compares.
+BLOCK_STRAYS, BLOCK_ROWS = 256, 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,10 +123,9 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return common.map_rows(src, make, schema)
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b, a_row, b_row), by the texts of these rows. The texts are dealt by row key once, for both sides."""
-    texts = docs.select(row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
-    both = pairs.join(texts.withColumnsRenamed({"key": "b_row", "text": "b_text"}), "b_row").join(texts.withColumnsRenamed({"key": "a_row", "text": "a_text"}), "a_row")
+def similarities(pairs: DataFrame, texts: DataFrame, *, shingle: int = shingles.SHINGLE) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of keys in ``texts`` (id, text)."""
+    both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "b_text"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "a_text"}), "a")
 
     def make() -> Callable:
         def step(batch: pa.RecordBatch):
@@ -133,6 +139,58 @@ def similarities(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: st
     return common.map_rows(both.select("a", "b", "a_text", "b_text"), make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
 
+def block_links(ids: np.ndarray, roots: np.ndarray, stray: np.ndarray, column: pa.Array, threshold: float, shingle: int) -> list[tuple[int, int]]:
+    """For each stray and each other component among the rows, one link to it, if there is any.
+
+    J_P is at most the sum of the lesser shares of the common shingles. That sum, and the number of
+    common shingles, come from an inverted index; where all shingles of both texts occur once, J_P
+    is the Jaccard index of these numbers, and else it is computed for the pairs the bound leaves.
+    """
+    parts = [shingles.weighted(part.column(0), shingle) for part in shingles.slices(pa.RecordBatch.from_arrays([column], names=["text"]), (0,))]
+    keys, counts = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    sizes = np.concatenate([np.diff(p[3]) for p in parts])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    row = np.repeat(np.arange(len(ids)), sizes)
+    total = np.bincount(row, weights=counts, minlength=len(ids))
+    plain = total == sizes
+    share = counts / total[row]
+    order = np.argsort(keys, kind="stable")
+    listed, of_row, of_share = keys[order], row[order], share[order]
+    out = []
+    for x in np.flatnonzero(stray).tolist():
+        own = slice(at[x], at[x + 1])
+        lo, hi = np.searchsorted(listed, keys[own], "left"), np.searchsorted(listed, keys[own], "right")
+        spots = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+        common_n = np.bincount(of_row[spots], minlength=len(ids))
+        exact = plain & plain[x]
+        other = (roots != roots[x]) & (common_n > 0)
+        hits = np.flatnonzero(exact & other & (common_n >= threshold * (sizes[x] + sizes - common_n))).tolist()
+        if (other & ~exact).any():
+            bound = np.bincount(of_row[spots], weights=np.minimum(of_share[spots], np.repeat(share[own], hi - lo)), minlength=len(ids))
+            hits += [y for y in np.flatnonzero(~exact & other & (bound >= threshold - 1e-9)).tolist() if probability_jaccard(keys[own], counts[own], keys[at[y] : at[y + 1]], counts[at[y] : at[y + 1]]) >= threshold]
+        met = {int(roots[y]): int(ids[y]) for y in hits}
+        out += [(int(ids[x]), y) for y in met.values()]
+    return out
+
+
+def _against_all(placed: DataFrame, work: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Links (a, b) between strays and the other rows of their buckets, compared in blocks."""
+    blocks = work.select("bucket", F.ceil(F.col("strays") / BLOCK_STRAYS).cast("int").alias("across"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("down"))
+    rows = placed.join(blocks, "bucket")
+    wide, tall = F.pmod(F.xxhash64("id"), F.col("across")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("down")).cast("int")
+    # a stray goes to every block of its column, and as another row to every block of its row
+    compared = rows.where("stray").select("bucket", "id", "root", F.lit(True).alias("stray"), wide.alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"))
+    others = rows.select("bucket", "id", "root", F.lit(False).alias("stray"), tall.alias("j"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"))
+    both = compared.unionByName(others).join(texts, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        found = block_links(table["id"].to_numpy(), table["root"].to_numpy(), table["stray"].to_numpy(), table["text"].combine_chunks(), threshold, shingle)
+        return pa.table({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
+
+    return both.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = shingles.SHINGLE) -> DataFrame:
     """doc_id, class_id (the least id of the class), keep (row key of the one row of the class that stays), row (this row's key)."""
     signed = common.stage(signatures(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, shingle=shingle), "signatures")
@@ -144,23 +202,33 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
     members = common.stage(hashed.join(shared, "bucket"), "members")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        keyed = pairs.join(named.select(F.col("id").alias("a"), F.col("row").alias("a_row")), "a").join(named.select(F.col("id").alias("b"), F.col("row").alias("b_row")), "b")
-        return common.stage(similarities(keyed, docs, id_col=id_col, text_col=text_col, shingle=shingle), name)
+    # the texts of the candidates, once
+    wanted = members.select("id").distinct().join(named, "id")
+    keyed = docs.select(row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    texts = common.stage(keyed.join(wanted, "row").groupBy("id").agg(F.first("text").alias("text")), "texts")
 
-    led = verify(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "led")
-    links = led.where(F.col("similarity") >= threshold).select("a", "b")
-    found = common.stage(components(links), "components")
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        return common.stage(similarities(pairs.distinct(), texts, shingle=shingle), name)
 
+    led = verify(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), "led")
+    found = common.stage(components(led.where(F.col("similarity") >= threshold).select("a", "b")), "components")
     root = F.coalesce(F.col("root"), F.col("id"))
-    likes = led.groupBy(F.col("a").alias("leader"), F.col("b").alias("id")).agg(F.max("similarity").alias("near"))
-    placed = members.join(likes, ["leader", "id"], "left").join(found.withColumnRenamed("key", "id"), "id", "left").select("bucket", "id", "leader", F.coalesce("near", F.lit(1.0)).alias("near"), root.alias("root"))
-    heads = placed.where("id = leader").select("bucket", F.col("root").alias("head"))
-    strays = placed.join(heads, "bucket").where("root <> head").select("bucket", F.col("id").alias("x"), F.col("near").alias("x_near"), F.col("root").alias("x_root"))
-    rest = strays.join(placed.where("id <> leader"), "bucket").where((F.col("root") != F.col("x_root")) & (F.abs(F.col("near") - F.col("x_near")) <= 1 - threshold + 1e-9))
-    rest = common.stage(rest.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "strays")
-    if not rest.isEmpty():
-        more = verify(rest, "more").where(F.col("similarity") >= threshold).select("a", "b")
+    for turn in range(PROBES + 1):
+        placed = members.join(found.withColumnRenamed("key", "id"), "id", "left").select("bucket", "id", "leader", root.alias("root"))
+        heads = placed.where("id = leader").select("bucket", F.col("root").alias("head"))
+        placed = common.stage(placed.join(heads, "bucket").withColumn("stray", F.col("root") != F.col("head")), "placed")
+        # of each bucket with strays: one row drawn from inside and one from outside of its leader's component
+        salted = F.struct(F.xxhash64(F.lit(turn), "id"), "id")
+        work = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("stray"), 1)).alias("strays"), F.min(F.when(~F.col("stray") & (F.col("id") != F.col("leader")), salted)).alias("inner"), F.min(F.when(F.col("stray"), salted)).alias("outer")).where("strays > 0")
+        work = common.stage(work.select("bucket", "n", "strays", F.array_compact(F.array("inner.id", "outer.id")).alias("probes")), "work")
+        if work.isEmpty():
+            break
+        strays = placed.where("stray").select("bucket", F.col("id").alias("x"), F.col("root").alias("x_root"))
+        if turn < PROBES:
+            drawn = strays.join(work, "bucket").select("x", "x_root", F.explode("probes").alias("id")).join(placed.select("id", "root").distinct(), "id").where("root <> x_root")
+            more = verify(drawn.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")), "probed").where(F.col("similarity") >= threshold).select("a", "b")
+        else:
+            more = common.stage(_against_all(placed, work, texts, threshold, shingle), "remaining")
         found = common.stage(components(found.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
 
     rooted = nodes.select("id", "node", "doc_id").join(found.withColumnRenamed("key", "id"), "id", "left").select("id", "node", "doc_id", root.alias("root"))

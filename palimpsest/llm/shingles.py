@@ -13,7 +13,7 @@ from palimpsest.llm import common
 SHINGLE = 5
 #: A slice holds fewer rows than this, so that a row's number and 50 bits of a hash share a word.
 ROW_BITS = 14
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2^64
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -62,7 +62,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     after[-1], after[:-1] = False, inside[1:]
     after[at[full + 1] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(max(SLICE_BYTES * 2, 1 << int(len(data)).bit_length()))
+    power, inverse = _powers(max(SLICE_BYTES, 1 << int(len(data) - 1).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values()[data] * power[: len(data)], out=sums[1:])
     return common.mix64((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, at)
