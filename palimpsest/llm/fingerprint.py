@@ -4,7 +4,8 @@ A document's terms are the distinct words of its lower-cased text. The lexicon h
 document frequency lies in a band (neither everywhere nor nearly unique). Each of several randomised
 subsets of the lexicon gives one hash: that of the document's terms in the subset, sorted. Subsets
 range from an eighth to a 1024th of the lexicon, so that texts of any length have subsets that hold
-a few of their terms: such a hash survives an edit that spares those few.
+a few of their terms: such a hash survives an edit that spares those few. The last subset is the
+whole lexicon, so that no text with a term in the band is without a hash of its own.
 
 The lexicon is bounded: terms in at least ``low`` of all documents number at most (distinct terms
 of an average document) / ``low``, however many documents there are. It is sent to all tasks only after
@@ -27,7 +28,7 @@ from palimpsest.llm import common
 SEPARATOR = r"[^\p{L}\p{N}]+"
 LOW, HIGH = 0.001, 0.05
 #: Share of the lexicon in each subset.
-SUBSETS = tuple(2.0 ** -(3 + k // 2) for k in range(16))
+SUBSETS = (*(2.0 ** -(3 + k // 2) for k in range(16)), 1.0)
 #: Lexicon rows are under 100 bytes; up to so many travel with the plan as a look-up table of so many buckets.
 MOST_BROADCAST = 500_000
 BUCKETS = 1 << 16

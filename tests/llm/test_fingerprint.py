@@ -34,3 +34,13 @@ def test_large_lexicons_are_not_broadcast(spark, monkeypatch):
     small = [tuple(r) for r in fingerprint.with_edits(odd(spark)).orderBy("doc_id", "fingerprint").collect()]
     monkeypatch.setattr(fingerprint, "MOST_BROADCAST", -1)
     assert [tuple(r) for r in fingerprint.with_edits(odd(spark)).orderBy("doc_id", "fingerprint").collect()] == small
+
+
+def test_short_texts_have_prints_of_their_own(spark, monkeypatch):
+    # two terms in each text, all in the band; most fall into none of the thin subsets
+    docs = spark.createDataFrame([(i, f"left{i // 2} right{(i + 1) // 2}") for i in range(60)] + [(60, "")], "doc_id long, text string")
+    words = fingerprint.lexicon(docs, high=0.9)
+    for most in (fingerprint.MOST_BROADCAST, -1):
+        monkeypatch.setattr(fingerprint, "MOST_BROADCAST", most)
+        prints = {r["doc_id"]: r["text_print"] for r in fingerprint.fingerprint(docs, words, ["text"], key="doc_id").collect()}
+        assert len(set(prints.values())) == 61 and [i for i, p in prints.items() if set(p) == {"_", "-"}] == [60]
