@@ -3,7 +3,8 @@
 Three patterns give the base spans, which always stay. Candidates are the base spans and all long
 runs of key-like characters that have a digit and a letter. The network reads every candidate with
 the characters around it: an embedding of characters, one convolution, the maximum over places, and
-a logistic layer, all in numpy. It is trained on labelled findings; on those kept back a temperature
+a logistic layer, all in numpy. A candidate longer than the network's view is read in overlapping windows
+to its end, and so is every long part of it between delimiters; the highest probability counts. It is trained on labelled findings; on those kept back a temperature
 is fitted, and a threshold that finds ``recall`` of their secrets with the fewest false findings.
 Candidates at or above it that overlap no base span are added as kind ``token``.
 
@@ -15,9 +16,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What may stand between a key and its surroundings inside one candidate.
+DELIMITER = re.compile(r"[/=]|(.)\1{3,}", re.DOTALL)
+SHORTEST = 20
+STRIDE = BODY // 2
+#: Windows that are read at a time, however long a candidate is.
+MOST_WINDOWS = 4096
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 
@@ -77,6 +85,34 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : min(end, start + BODY)].ljust(BODY, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def views(text: str, start: int, end: int) -> Iterator[str]:
+    """Windows that together hold the whole candidate, and each key-like part of a long one between delimiters."""
+    yield window(text, start, end)
+    if end - start <= BODY:
+        return
+    for at in range(start + STRIDE, end - BODY + STRIDE, STRIDE):
+        at = min(at, end - BODY)
+        yield window(text, at, at + BODY)
+    left = start
+    for stop, after in chain((m.span() for m in DELIMITER.finditer(text, start, end)), [(end, end)]):
+        part = text[left:stop]
+        if SHORTEST <= len(part) < end - start and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+            yield window(text, left, stop)
+            for at in range(left + STRIDE, stop - BODY + STRIDE, STRIDE):
+                at = min(at, stop - BODY)
+                yield window(text, at, at + BODY)
+        left = after
+
+
+def highest(net: Net, found: list[tuple[str, int, int]]) -> np.ndarray:
+    """For each (text, start, end) the highest probability of its windows."""
+    out = np.zeros(len(found))
+    windows = ((i, w) for i, at in enumerate(found) for w in views(*at))
+    while some := list(islice(windows, MOST_WINDOWS)):
+        np.maximum.at(out, [i for i, _ in some], net.probability(codes([w for _, w in some])))
+    return out
+
+
 def codes(windows: list[str]) -> np.ndarray:
     """ASCII as it is, all else as 128: (windows x WIDTH)."""
     points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(windows), WIDTH)
@@ -249,8 +285,7 @@ def find(texts: list[str], net: Net) -> list[tuple[list[Span], list[Span], list[
     """For each text its base spans, all spans, and the network's probability for each of these."""
     base = [base_spans(t) for t in texts]
     more = [more_candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    every = [(t, s) for t, b, m in zip(texts, base, more, strict=True) for s in (*b, *m)]
-    p = net.probability(codes([window(t, s.value, s.end) for t, s in every])) if every else np.zeros(0)
+    p = highest(net, [(t, s.value, s.end) for t, b, m in zip(texts, base, more, strict=True) for s in (*b, *m)])
     out, at = [], 0
     for b, m in zip(base, more, strict=True):
         scored = list(zip((*b, *m), p[at : at + len(b) + len(m)].tolist(), strict=True))
