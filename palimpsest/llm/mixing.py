@@ -5,9 +5,9 @@
    shared anew by weight. That is one water level: target = min(weight x level, cap x size).
 2. Blocks. A document's block of its source is a hash of its id, so blocks are random samples of
    about ``block_words`` words and no source is sorted or gathered as a whole.
-3. Quotas. A source gives each of its blocks floor(target / size) times, then blocks in a permuted
-   order as long as they fit into the rest; inside the one block that doesn't, documents are chosen
-   to meet the rest.
+3. Quotas. A source gives each of its blocks floor(target / size) times, then, in a permuted order,
+   every block that fits into what is left of the rest. What is left then is met by documents of
+   further blocks, until none fits; at last the shortest one beyond is taken if that comes nearer.
 4. Splitting tree. The vector of block units by source is halved again and again over the output
    shards by multivariate-hypergeometric draws seeded by the node, so each shard can compute its own
    exact quotas from the root, and they add up to the sources' units.
@@ -36,7 +36,7 @@ SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 1 << 22
-#: Documents of a split block among which the last words are looked for exactly.
+#: Documents of split blocks among which the last words are looked for exactly.
 LAST = 64
 #: numpy's hypergeometric draw takes populations under 10^9: blocks grow beyond this many.
 MOST_UNITS = 1 << 28
@@ -85,17 +85,13 @@ def shard_quotas(units: np.ndarray, shards: int, shard: int, seed: int) -> tuple
     return first, counts
 
 
-def nearest_subset(words: list[int], rest: float) -> list[int]:
-    """Places of numbers whose sum is as near to ``rest`` as any subset's. Bit s of a set tells that some subset so far has sum s."""
-    reached, before, limit = 1, [], (1 << int(2 * rest) + 1) - 1  # sums beyond are no better than none
+def best_subset(words: list[int], rest: float) -> list[int]:
+    """Places of numbers with the largest sum of at most ``rest``. Bit s of a set tells that some subset so far has sum s."""
+    reached, before, limit = 1, [], (1 << int(rest) + 1) - 1
     for n in words:
         before.append(reached)
         reached |= reached << n & limit
-    floor = int(rest)
-    best = (reached & (1 << floor + 1) - 1).bit_length() - 1
-    if above := reached >> floor + 1:
-        over = floor + (above & -above).bit_length()
-        best = over if over - rest < rest - best else best
+    best = reached.bit_length() - 1
     out = []
     for i in range(len(words) - 1, -1, -1):
         if not before[i] >> best & 1:
@@ -104,17 +100,65 @@ def nearest_subset(words: list[int], rest: float) -> list[int]:
     return out
 
 
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    """A source's blocks in their order: each that fits into what is left is taken (``slot``: as which), the others are passed over."""
+    rows = rows.sort_values("turn", kind="stable", ignore_index=True)
+    left, slots, skipped = float(rows["rest"].iloc[0]), [], False
+    taken = 0
+    for n in rows["words"].to_list():
+        fits = n <= left and (n > 0 or not skipped)
+        slots.append(taken if fits else -1)
+        skipped |= not fits
+        if fits:
+            left -= n
+            taken += 1
+    return rows.drop(columns=["words", "rest"]).assign(slot=slots, taken=taken, left=left)
+
+
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block whose words come near ``rest``: in hash order what fits, and of the last ``LAST`` the best subset for what is left."""
+    """Documents that fit into ``left`` words: in order what fits, and of the last ``LAST`` the best subset for what is left then."""
     rows = rows.sort_values(["turn", "doc_id", "size"], kind="stable", ignore_index=True)
-    words, rest = rows["words"].to_list(), float(rows["rest"].iloc[0])
+    words, rest = rows["words"].to_list(), float(rows["left"].iloc[0])
     split, taken = max(0, len(rows) - LAST), np.zeros(len(rows), bool)
     for i in range(split):
         if words[i] <= rest:
             taken[i] = True
             rest -= words[i]
-    taken[[split + i for i in nearest_subset(words[split:], rest)]] = True
-    return rows.loc[taken, ["src", "doc_id", "size"]]
+    taken[[split + i for i in best_subset(words[split:], rest)]] = True
+    return rows.loc[taken, ["src", "block", "doc_id", "size", "words"]]
+
+
+def _chosen(placed: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """Documents (src, block, doc_id, size) of blocks not taken whole, which together come near each source's ``left``.
+
+    The first look takes them in hash order from as few blocks as hold enough; further looks, needed only where
+    documents were too long, from the longest down, so that each at least halves what is left.
+    """
+    spare = blocks.where((F.col("slot") < 0) & (F.col("left") > 0)).select("src", "block", "turn", "left")
+    loose = placed.select("src", "block", "doc_id", "size").join(spare, ["src", "block"])
+    loose = loose.groupBy("src", "block", "doc_id", "size").agg(F.sum("size").alias("words"), F.first("turn").alias("block_turn"), F.first("left").alias("left"))
+    loose = common.stage(loose.where(F.col("words") < 2 * F.col("left")), "loose")
+    shape = loose.select("src", "block", "doc_id", "size", "words").schema
+    chosen, look = loose.select(*shape.names).limit(0), 0
+    while True:
+        taken = chosen.groupBy("src").agg(F.sum("words").alias("got"))
+        rows = loose.join(taken, "src", "left").withColumn("left", F.col("left") - F.coalesce("got", F.lit(0))).drop("got").where("left > 0")
+        if look:
+            picked = chosen.select(F.col("src").alias("c_src"), F.col("doc_id").alias("c_doc_id"), F.col("size").alias("c_size"))
+            rows = rows.join(picked, (F.col("src") == F.col("c_src")) & F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("size") == F.col("c_size")), "left_anti")
+        fits = rows.where((F.col("words") <= F.col("left")) & (F.col("words") > 0))
+        held = fits.groupBy("src", "block").agg(F.sum("words").alias("fit"), F.first("block_turn").alias("block_turn"), F.first("left").alias("room"))
+        before = F.coalesce(F.sum("fit").over(Window.partitionBy("src").orderBy("block_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = common.stage(held.withColumn("before", before).where(F.col("before") < F.col("room")).select("src", "block"), "held")
+        if held.isEmpty():
+            break
+        order = F.xxhash64(F.lit(seed + 1), "doc_id", "size") if not look else -F.col("words")
+        cut = rows.where(F.col("words") <= F.col("left")).join(held, ["src", "block"], "left_semi").withColumn("turn", order)
+        found = common.stage(cut.groupBy("src").applyInPandas(_choose, shape), "chosen")
+        chosen, look = chosen.unionByName(found) if look else found, look + 1
+    last = rows.where((F.col("words") > F.col("left")) & (F.col("words") < 2 * F.col("left")))
+    last = last.groupBy("src").agg(F.min(F.struct("words", "block_turn", "doc_id", "size", "block")).alias("d")).select("src", "d.block", "d.doc_id", "d.size", "d.words")
+    return common.stage(chosen.unionByName(last).select("src", "block", "doc_id", "size"), "chosen")
 
 
 @dataclass
@@ -162,26 +206,21 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     plain = sources.select("src", "n_blocks", "passes", "rest")
     placed = keyed.join(F.broadcast(plain) if few else plain, "src").withColumn("block", _block(seed))
 
-    # blocks in a permuted order, with the words before each: first over runs of 1024, then inside a run
+    # blocks in a permuted order; a source has words / block_words of them
     turn = F.pmod(F.col("block") * 2_147_483_647 + seed, F.col("n_blocks"))
-    blocks = placed.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("n_blocks").alias("n_blocks"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    blocks = common.stage(blocks.withColumn("turn", turn).withColumn("run", F.expr("turn div 1024")), "blocks")
-    runs = blocks.groupBy("src", "run").agg(F.sum("words").alias("run_words"))
-    before = F.coalesce(F.sum("run_words").over(Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("words").over(Window.partitionBy("src", "run").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.join(runs.select("src", "run", before.alias("run_before")), ["src", "run"]).withColumn("before", F.col("run_before") + inside)
-    blocks = blocks.withColumn("whole", F.col("before") + F.col("words") <= F.col("rest")).withColumn("split", ~F.col("whole") & (F.col("before") < F.col("rest")))
-    blocks = common.stage(blocks.select("src", "block", "passes", "rest", "before", "turn", "n_blocks", "whole", "split"), "quotas")
-
-    cut = placed.select("src", "doc_id", "size", "block").join(blocks.where("split").select("src", "block", (F.col("rest") - F.col("before")).alias("rest")), ["src", "block"])
-    cut = cut.groupBy("src", "doc_id", "size").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")).withColumn("turn", F.xxhash64(F.lit(seed + 1), "doc_id", "size"))
-    chosen = common.stage(cut.groupBy("src").applyInPandas(_choose, cut.select("src", "doc_id", "size").schema), "chosen")
-
-    # units: block copies, numbered by pass and then by the block's turn; the shards share them out
-    copies = F.col("passes") + F.when(F.col("whole") | F.col("split"), 1).otherwise(0)
-    units = blocks.select("src", "block", "split", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))).alias("pass"), "turn", "n_blocks", "passes")
-    # numbered by pass, then turn; the last pass ends somewhere. Numbers of blocks that hold no document stay unused
-    units = units.withColumn("unit", F.col("pass") * F.col("n_blocks") + F.col("turn"))
+    blocks = placed.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("n_blocks").alias("n_blocks"), F.first("passes").alias("passes"), F.first("rest").alias("rest")).withColumn("turn", turn)
+    blocks = common.stage(blocks.groupBy("src").applyInPandas(_whole, "src string, block long, n_blocks long, passes long, turn long, slot long, taken long, left double"), "quotas")
+    chosen = _chosen(placed, blocks, seed)
+    # split blocks come after the whole ones
+    splits = chosen.select("src", "block").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("src").orderBy("block")))
+    blocks = blocks.join(splits, ["src", "block"], "left").withColumn("split", F.col("nth").isNotNull()).withColumn("slot", F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.col("taken") + F.col("nth") - 1))
+    chosen = chosen.select("src", "doc_id", "size")
+
+    # units: block copies, numbered by pass and then by the block's turn, in the last pass by its slot; the shards share them out
+    copies = F.col("passes") + F.when(F.col("slot").isNotNull(), 1).otherwise(0)
+    units = blocks.select("src", "block", "split", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))).alias("pass"), "turn", "n_blocks", "passes", "slot")
+    # numbers of blocks that hold no document stay unused
+    units = units.withColumn("unit", F.col("pass") * F.col("n_blocks") + F.when(F.col("pass") < F.col("passes"), F.col("turn")).otherwise(F.col("slot")))
     by_source = units.groupBy("src").agg((F.max("unit") + 1).alias("n")).orderBy("src").collect()
     names, counts = [r["src"] for r in by_source], np.array([r["n"] for r in by_source], np.int64)
     shards = max(1, int(-(-target_words // shard_words)))

@@ -79,3 +79,15 @@ def test_odd_rows(spark):
     assert mixing.mix(empty(spark)).count() == 0
     none = odd(spark).withColumn("text", F.lit(None).cast("string"))
     assert all(r["target"] == 0 for r in mixing.mix(none).collect())
+
+
+def test_documents_longer_than_the_remainder_are_passed_over(spark):
+    # one source, target 1.5 x its words: a whole pass, and a rest that the long document does not fit into
+    for long in (300_000, 70_000):
+        docs = spark.createDataFrame([(i, "s", "w " * (long if i == 77 else 1 + i % 200)) for i in range(1200)], "doc_id long, source string, text string")
+        for seed in (1, 2, 3):
+            rows = mixing.mix(docs, block_words=4000, seed=seed).collect()
+            target = rows[0]["target"]
+            fit = sum(r["size"] for r in rows if r["size"] < 1000)
+            want = min(target, sum(r["size"] for r in rows) + fit) if long == 300_000 else target
+            assert abs(sum(r["size"] * r["copies"] for r in rows) - want) <= 1
