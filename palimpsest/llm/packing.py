@@ -2,9 +2,10 @@
 
 Documents become token pieces of at most ``capacity``; pieces are dealt to partitions of bounded
 size and packed best-fit decreasing. Dual-feasible functions give each partition a lower bound on
-its number of sequences. Where a partition stays above its bound, it exchanges the documents of its
-unfilled sequences with the other such partitions of its cohort, which pack them anew; a cohort
-keeps the outcome if it needs fewer sequences.
+its number of sequences. Where partitions stay above their bounds, the documents of their unfilled
+sequences are poured together: a cohort's into one new partition, which packs them anew. A cohort
+keeps the outcome if it needs fewer sequences, and this is repeated until none does. Every
+partition's count and bound are those of the documents it holds in the end.
 
 Null and empty texts are one piece of one token (the end token). Documents that repeat are packed
 as often as they occur. An empty table gives an empty result. Other columns are ignored.
@@ -28,8 +29,6 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Pieces that one task packs: a task holds so many rows of some 50 bytes.
 PIECES_PER_PARTITION = 32_768
-#: Partitions that exchange documents with one another.
-COHORT = 8
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -118,7 +117,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "part long, cohort long, row long, length long, bin long, offset long, fill long, bins long, bound long"
+_PACKED = "part long, row long, length long, bin long, offset long, fill long, bins long, bound long"
 
 
 def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -127,39 +126,63 @@ def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        return rows[["part", "cohort", "row", "length"]].assign(bin=bins, offset=offsets, fill=fill[bins], bins=len(fill), bound=lower_bound(lengths, capacity))
+        return rows[["part", "row", "length"]].assign(bin=bins, offset=offsets, fill=fill[bins], bins=len(fill), bound=lower_bound(lengths, capacity))
 
     return pack
 
 
-def pack(staged: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = 1) -> DataFrame:
+def cohorts(loose: list[tuple[int, int]], most: int) -> dict[int, int]:
+    """Cohort of each (partition, documents of its unfilled sequences): two partitions at least, and as many as hold ``most`` documents together."""
+    groups: list[list[int]] = []
+    held = most
+    for part, n in sorted(loose, key=lambda x: (x[1], x[0])):
+        if not groups or (held + n > most and len(groups[-1]) > 1):
+            groups.append([])
+            held = 0
+        groups[-1].append(part)
+        held += n
+    if len(groups) > 1 and len(groups[-1]) == 1:
+        alone = groups.pop()
+        groups[-1] += alone
+    return {part: i for i, group in enumerate(groups) if len(group) > 1 for part in group}
+
+
+def pack(staged: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int | None = None) -> DataFrame:
     """Add sequence_id, offset, partition, partition_bins and partition_bound to a table of pieces with a ``length`` of at most ``capacity``.
 
     ``staged`` must give the same rows at each reading (a written table). Full pieces are a sequence
     of their own and are not moved. Every partition's bins are numbered on their own; full pieces
-    have negative numbers.
+    have negative numbers. Exchanges go on while one saves a sequence, or for ``rounds`` rounds.
     """
     keyed = staged.withColumn("row", F.monotonically_increasing_id())
     keyed = common.stage(keyed, "pieces")
     loose = keyed.where(F.col("length") < capacity).select("row", "length")
     parts = max(1, -(-loose.count() // per_partition))
-    dealt = loose.withColumn("part", F.pmod(F.xxhash64(F.lit(0), "row"), F.lit(parts))).withColumn("cohort", F.expr(f"part div {COHORT}"))
+    dealt = loose.withColumn("part", F.pmod(F.xxhash64(F.lit(0), "row"), F.lit(parts)))
     work = _packer(capacity)
     state = common.stage(dealt.groupBy("part").applyInPandas(work, _PACKED), "packed")
-    for turn in range(1, rounds + 1 if parts > 1 else 1):
-        open_bins = state.where((F.col("bins") > F.col("bound")) & (F.col("fill") < capacity))
-        moved = open_bins.select(
-            "row", "length", "cohort",
-            (F.col("cohort") * COHORT + F.pmod(F.xxhash64(F.lit(turn), "row"), F.least(F.lit(COHORT), F.lit(parts) - F.col("cohort") * COHORT))).alias("part"),
-        )
-        again = common.stage(moved.groupBy("part").applyInPandas(work, _PACKED), "repacked")
-        was = open_bins.groupBy("cohort").agg(F.countDistinct("part", "bin").alias("was"))
-        now = again.groupBy("cohort").agg(F.countDistinct("part", "bin").alias("now"))
-        won = was.join(now, "cohort").where("now < was").select("cohort", F.lit(turn).alias("turn"))
-        kept = state.join(won, "cohort", "left").where(F.col("turn").isNull() | ~((F.col("bins") > F.col("bound")) & (F.col("fill") < capacity))).drop("turn")
-        fresh = again.join(won.select("cohort"), "cohort", "left_semi").withColumn("bin", F.col("bin") + F.lit(turn << 32))
-        state = common.stage(kept.select(*again.columns).unionByName(fresh), "exchanged")
-    # the certificates after the exchange, from the lengths each partition then holds
+    fresh, turn = parts, 0
+    while parts > 1 and (rounds is None or turn < rounds):
+        turn += 1
+        is_open = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
+        to = cohorts([tuple(r) for r in state.where(is_open).groupBy("part").count().collect()], per_partition)
+        if not to:
+            break
+        spots = F.broadcast(staged.sparkSession.createDataFrame([(p, fresh + i) for p, i in to.items()], "part long, target long"))
+        fresh += len(set(to.values()))
+        open_bins = state.where(is_open).join(spots, "part")
+        again = common.stage(open_bins.select("row", "length", F.col("target").alias("part")).groupBy("part").applyInPandas(work, _PACKED), "repacked")
+        was = open_bins.groupBy("target").agg(F.countDistinct("part", "bin").alias("was"))
+        now = again.groupBy(F.col("part").alias("target")).agg(F.first("bins").alias("now"))
+        won = [r["target"] for r in was.join(now, "target").where("now < was").collect()]
+        if not won:
+            break
+        givers = F.broadcast(spots.where(F.col("target").isin(won)).select("part", F.lit(True).alias("gave")))
+        kept = state.join(givers, "part", "left").where(F.col("gave").isNull() | ~is_open)
+        # what a giver keeps are full sequences: so many does it need, and no fewer
+        full = kept.where("gave").groupBy("part").agg((F.sum("length") / capacity).cast("long").alias("full"))
+        kept = kept.join(full, "part", "left").withColumn("bins", F.coalesce("full", "bins")).withColumn("bound", F.coalesce("full", "bound"))
+        state = common.stage(kept.select(*again.columns).unionByName(again.where(F.col("part").isin(won))), "exchanged")
     placed = state.select("row", "offset", (F.col("part") * F.lit(1 << 36) + F.col("bin")).alias("sequence_id"), F.col("part").alias("partition"), F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound"))
     full = keyed.where(F.col("length") >= capacity).select(
         *keyed.columns, F.lit(0).cast("long").alias("offset"), (-1 - F.col("row")).alias("sequence_id"),
@@ -168,7 +191,7 @@ def pack(staged: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PI
     return keyed.where(F.col("length") < capacity).join(placed, "row").unionByName(full).drop("row")
 
 
-def best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_token: int = END_TOKEN, keep_ids: bool = False, per_partition: int = PIECES_PER_PARTITION, rounds: int = 1) -> DataFrame:
+def best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_token: int = END_TOKEN, keep_ids: bool = False, per_partition: int = PIECES_PER_PARTITION, rounds: int | None = None) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens.
 
     Per piece: doc_id, piece, start, length, ids_crc32 (and ids), offset, sequence_id, and the

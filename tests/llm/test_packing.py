@@ -107,3 +107,26 @@ def test_odd_rows(spark):
         per[r["doc_id"]] += r["length"]
     assert per[1] == per[2] == 1 and per[5] == 2 * per[0] and None in per
     assert packing.best_fit(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [400, 450])
+def test_exchange_closes_gaps_and_its_certificates_hold(spark, n):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(200, 500, n)
+    staged = spark.createDataFrame([(i, 0, 0, int(x), 0) for i, x in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    before = check_layout(packing.pack(staged, per_partition=50, rounds=0).collect(), 1024)
+    rows = packing.pack(staged, per_partition=50).collect()
+    after = check_layout(rows, 1024)
+    assert after < before and sorted(r["doc_id"] for r in rows) == list(range(n))
+    held = defaultdict(list)
+    for r in rows:
+        held[r["partition"]].append(r)
+    for own in held.values():
+        bins = len({r["sequence_id"] for r in own})
+        assert {(r["partition_bins"], r["partition_bound"]) for r in own} == {(bins, packing.lower_bound(np.array([r["length"] for r in own]), 1024))}
+
+
+def test_cohorts():
+    assert packing.cohorts([(3, 10)], 100) == {} and packing.cohorts([], 100) == {}
+    assert packing.cohorts([(i, 40) for i in range(5)], 100) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
+    assert packing.cohorts([(0, 90), (1, 90), (2, 90)], 100) == {0: 0, 1: 0, 2: 0}
