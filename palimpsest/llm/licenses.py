@@ -4,7 +4,7 @@ Documents and templates are runs of words (lower case, split at all but letters
 five-word shingles. Templates come in classes by length; longer ones are cut into overlapping parts
 of the largest class. For each class, a document's overlapping windows are twice the class's words
 long and advance by its words, so every verbatim part lies whole in one window. A window's MinHash
-sketch is its ``k`` lowest shingle hashes; each is a band of one row, looked up among the shingles
+sketch is its ``k`` lowest distinct shingle hashes; each is a band of one row, looked up among the shingles
 of the class's parts. Of a part with t shingles in a window of n, all miss the sketch with
 probability C(n - t, k) / C(n, k): ``bands`` picks k so that this is at most ``MISS``.
 
@@ -121,9 +121,9 @@ def index(spark: SparkSession, templates: dict[str, str] | None = None) -> Index
 
 
 def _sketches(run: Column, kind: Class) -> Column:
-    """The lowest k hashes of every window, end to end."""
+    """The lowest k distinct hashes of every window, end to end: repeats would fill a sketch."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(run), F.lit(1)), F.lit(kind.words))
-    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.slice(run, i, F.lit(kind.n))), 1, kind.k)))
+    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.array_distinct(F.slice(run, i, F.lit(kind.n)))), 1, kind.k)))
 
 
 def _known(hashes: list[int]) -> Callable[[Column], Column]:

@@ -44,3 +44,11 @@ def test_odd_rows_and_no_templates(spark):
     assert [(r["doc_id"], r["template"]) for r in licenses.scan(odd(spark)).collect()] == [(8, "mit-notice")]
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(documents(spark), templates={}).count() == 0
+
+
+def test_templates_beside_repeated_filler(spark):
+    # some of these one-word fillers have a shingle hash below all of a template's
+    names = ("isc", "mpl-2.0", "bsd-3-clause-endorsement", "unlicense")
+    rows = [(n * 1000 + f, " ".join([*[f"fill{f}"] * 70, licenses.TEMPLATES[name], *[f"fill{f}"] * 70])) for n, name in enumerate(names) for f in range(300)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"] // 1000, r["doc_id"] % 1000) for r in found if r["template"] == names[r["doc_id"] // 1000] and r["containment"] == 1.0} == {(n, f) for n in range(4) for f in range(300)}
