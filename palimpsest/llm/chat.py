@@ -7,8 +7,10 @@ with ``tool_call_id`` and ``content`` or plain text without an id. Calls and res
 join on (conversation, id). Arguments are validated against the tool's schema.
 
 Order: by turn, then place in the message. A result that was logged before its call moves behind it,
-and a call behind the results it needs; this is repeated until no edge is violated, so a well-formed
-log takes one look. Calls that need one another have status ``cycle`` and stay at their turns.
+and a call behind the results it needs, until no edge is violated. A well-formed log takes one look; of
+a conversation that violates an edge, one task orders the edges (numbers only, no texts), however long
+their chains. Calls that need one another, directly or through others, have status ``cycle``; they and
+their results stay at their turns.
 
 Every item is one line of canonical JSON: keys in code point order, no white space, no escapes but
 those JSON demands. Conversations are never gathered: positions come from counts of runs of turns,
@@ -22,9 +24,11 @@ that repeat, each is an item. Other columns are ignored.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ from pyspark.sql import types as T
 from palimpsest.llm import common
 
 RUN = 256
+#: Bounds nothing any more: chains of any length are followed to their end.
 MOST_TURNS = 200
 
 Schema = dict[str, Any]
@@ -144,6 +149,82 @@ def items(messages: DataFrame, tools: dict[str, Schema], *, conv_col: str = "con
     return common.map_rows(src, make, T.StructType([*src.drop("text").schema.fields, *_ITEMS.fields]))
 
 
+def cyclic(after: dict[int, list[int]]) -> set[int]:
+    """Nodes of a graph that reach themselves: those of components with several nodes or a loop (Tarjan's algorithm, without recursion)."""
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    on: set[int] = set()
+    out: set[int] = set()
+    for root in list(after):
+        work = [] if root in index else [(root, iter(after[root]))]
+        if work:
+            index[root] = low[root] = len(index)
+            stack.append(root)
+            on.add(root)
+        while work:
+            node, more = work[-1]
+            for other in more:
+                if other not in index:
+                    index[other] = low[other] = len(index)
+                    stack.append(other)
+                    on.add(other)
+                    work.append((other, iter(after.get(other, ()))))
+                    break
+                if other in on:
+                    low[node] = min(low[node], index[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    at = stack.index(node) if stack[-1] != node else len(stack) - 1
+                    found = stack[at:]
+                    del stack[at:]
+                    on.difference_update(found)
+                    if len(found) > 1 or node in after.get(node, ()):
+                        out.update(found)
+    return out
+
+
+Key = tuple[int, int, int, int]
+
+
+def ordered(edges: list[tuple[int, int]], own: dict[int, Key]) -> tuple[dict[int, Key], set[int]]:
+    """Keys of the nodes that edges move, and the nodes on cycles, which don't move. A moved node comes right behind the last it needs."""
+    after: dict[int, list[int]] = defaultdict(list)
+    for before, later in edges:
+        after[before].append(later)
+    loops = cyclic(after)
+    open_ = dict.fromkeys(own, 0)
+    for before, later in edges:
+        open_[later] += later not in loops
+    keys, last = dict(own), dict[int, Key]()
+    ready = [n for n in own if not open_[n]]
+    while ready:
+        node = ready.pop()
+        if node in last and last[node] >= own[node]:
+            turn, place, step, _ = last[node]
+            keys[node] = (turn, place, step + 1, node)
+        for later in after.get(node, ()):
+            if later not in loops:
+                last[later] = max(last.get(later, keys[node]), keys[node])
+                open_[later] -= 1
+                if not open_[later]:
+                    ready.append(later)
+    return {n: k for n, k in keys.items() if k != own[n]}, loops
+
+
+def _reorder(rows: pd.DataFrame) -> pd.DataFrame:
+    """A conversation's edges to its moved items and those on cycles."""
+    own: dict[int, Key] = {}
+    for end in ("before", "later"):
+        own |= {r: (t, p, 0, r) for r, t, p in zip(rows[end].tolist(), rows[f"{end}_turn"].tolist(), rows[f"{end}_place"].tolist(), strict=True)}
+    moved, loops = ordered(list(zip(rows["before"].tolist(), rows["later"].tolist(), strict=True)), own)
+    found = [(n, n in loops, *moved.get(n, own[n])[:3]) for n in sorted(moved.keys() | loops)]
+    return pd.DataFrame(found, columns=["row", "cycle", "m_turn", "m_place", "m_step"])
+
+
 def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataFrame:
     """All items in order: conv_id, position (from 0), turn, role, kind, call_id, status, valid, error, json.
 
@@ -158,39 +239,31 @@ def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataF
 
     # edges between items: a call to its result, and the results a call needs to it
     calls = found.where((F.col("kind") == "call") & F.col("call_id").isNotNull()).select("conv", "call_id", "row", F.explode("after").alias("needed"))
-    needs = calls.join(ends.select("conv", F.col("call_id").alias("needed"), F.coalesce("result_row", "call_row").alias("before")), ["conv", "needed"]).select("before", F.col("row").alias("later"))
-    answers = ends.where("call_row is not null and result_row is not null").select(F.col("call_row").alias("before"), F.col("result_row").alias("later"))
-    edges = common.stage(answers.unionByName(needs).where("before is not null").distinct(), "edges")
-
-    # key: (turn, place, steps behind that, row); a violated edge moves its later end behind the earlier one
-    keys = found.select("row", F.struct("turn", "place", F.lit(0).alias("step"), "row").alias("key"))
-    moved = keys.limit(0)
-    cyclic = False
-    for turn in range(MOST_TURNS + 1):
-        now = keys.join(moved.select("row", F.col("key").alias("moved")), "row", "left").select("row", F.coalesce("moved", "key").alias("key")) if turn else keys
-        late = edges.join(now.select(F.col("row").alias("before"), F.col("key").alias("before_key")), "before").join(now.select(F.col("row").alias("later"), F.col("key").alias("later_key")), "later")
-        late = late.where(F.col("later_key") <= F.col("before_key")).groupBy(F.col("later").alias("row")).agg(F.max("before_key").alias("b"))
-        late = common.stage(late.select("row", F.struct(F.col("b.turn").alias("turn"), F.col("b.place").alias("place"), (F.col("b.step") + 1).alias("step"), "row").alias("key")), "moves")
-        if late.isEmpty():
-            break
-        if turn == MOST_TURNS:
-            cyclic = True
-            break
-        moved = common.stage(late.unionByName(moved.join(late, "row", "left_anti")), "moved")
-    still = late.select("row", F.lit(True).alias("cycle")) if cyclic else keys.limit(0).select("row", F.lit(True).alias("cycle"))
+    needs = calls.join(ends.select("conv", F.col("call_id").alias("needed"), F.coalesce("result_row", "call_row").alias("before")), ["conv", "needed"]).select("conv", "before", F.col("row").alias("later"))
+    answers = ends.where("call_row is not null and result_row is not null").select("conv", F.col("call_row").alias("before"), F.col("result_row").alias("later"))
+    edges = answers.unionByName(needs).where("before is not null").distinct()
+
+    # key: (turn, place, steps behind that, row)
+    for end in ("before", "later"):
+        edges = edges.join(found.select(F.col("row").alias(end), F.col("turn").alias(f"{end}_turn"), F.col("place").alias(f"{end}_place")), end)
+    edges = common.stage(edges, "edges")
+    late = edges.where(F.struct("later_turn", "later_place", "later") <= F.struct(F.col("before_turn").alias("later_turn"), F.col("before_place").alias("later_place"), F.col("before").alias("later")))
+    late = common.stage(late.select("conv").distinct(), "late")
+    moved = edges.join(late, "conv", "left_semi").groupBy("conv").applyInPandas(_reorder, "row long, cycle boolean, m_turn long, m_place int, m_step int")
+    moved = common.stage(moved, "moved").select("row", "cycle", F.struct(F.col("m_turn").alias("turn"), F.col("m_place").alias("place"), F.col("m_step").alias("step"), "row").alias("key"))
 
     marks = ends.select(F.explode(F.array(F.struct(F.col("call_row").alias("row"), F.col("result_row").isNotNull().alias("met")), F.struct(F.col("result_row").alias("row"), F.col("call_row").isNotNull().alias("met")))).alias("m")).select("m.row", "m.met").where("row is not null")
-    rows = found.join(marks, "row", "left").join(moved.select("row", "key"), "row", "left").join(still, "row", "left")
+    rows = found.join(marks, "row", "left").join(moved, "row", "left")
     status = (
         F.when(F.col("kind") == "message", "message")
-        .when(F.col("cycle"), "cycle")
+        .when(F.col("cycle") & (F.col("kind") == "call"), "cycle")
         .when(F.col("call_id").isNull(), F.when(F.col("kind") == "call", "unanswered").otherwise("orphan"))
         .when(F.col("met").isNull(), "repeated")
         .when(F.col("met"), "linked")
         .otherwise(F.when(F.col("kind") == "call", "unanswered").otherwise("orphan"))
     )
     own = F.struct("turn", "place", F.lit(0).alias("step"), "row")
-    rows = rows.withColumn("status", status).withColumn("key", F.when(F.col("cycle"), own).otherwise(F.coalesce("key", own))).withColumn("run", F.floor(F.col("key.turn") / RUN))
+    rows = rows.withColumn("status", status).withColumn("key", F.coalesce("key", own)).withColumn("run", F.floor(F.col("key.turn") / RUN))
     rows = common.stage(rows, "linked")
 
     runs = rows.groupBy("conv", "run").agg(F.count("*").alias("n"))

@@ -80,3 +80,19 @@ def test_schemas(value, schema, want):
 
 def test_canonical_json_is_stable():
     assert chat.canonical({"b": [1, {"d": "é", "c": None}], "a": "\n"}) == '{"a":"\\n","b":[1,{"c":null,"d":"é"}]}'
+
+
+def test_long_chains_are_ordered_and_only_cycles_are_told(spark):
+    n = 300  # each call needs the one logged after it, and results come before their calls
+    rows = [(1, 2 * i + k, "tool", result(str(i), i)) if k == 0 else (1, 2 * i + k, "assistant", call((str(i), "add", {"a": 1, "b": 1}, [str(i + 1)]))) for i in range(n) for k in (0, 1)]
+    got = linked(spark, rows)
+    assert [(r["kind"], r["call_id"]) for r in got] == [(k, str(i)) for i in reversed(range(n)) for k in ("call", "result")]
+    assert {r["status"] for r in got} == {"linked"}
+    # a and b need each other, s itself; d needs b, c needs d and was logged before; u is needed by a
+    rows = [
+        (1, 0, "assistant", call(("c", "add", {}, ["d"]))), (1, 1, "assistant", call(("a", "add", {}, ["b", "u"]))), (1, 2, "assistant", call(("b", "add", {}, ["a"]))), (1, 3, "tool", result("a", 1)),
+        (1, 4, "assistant", call(("d", "add", {}, ["b"]), ("s", "add", {}, ["s"]))), (1, 5, "assistant", call(("u", "add", {}))),
+    ]
+    assert [(r["call_id"], r["kind"], r["status"]) for r in linked(spark, rows)] == [
+        ("a", "call", "cycle"), ("b", "call", "cycle"), ("a", "result", "linked"), ("d", "call", "unanswered"), ("c", "call", "unanswered"), ("s", "call", "cycle"), ("u", "call", "unanswered"),
+    ]
