@@ -6,7 +6,8 @@ the characters around it: an embedding of characters, one convolution, the maxim
 a logistic layer, all in numpy. A candidate longer than the network's view is read in overlapping windows
 to its end, and so is every long part of it between delimiters; the highest probability counts. It is trained on labelled findings; on those kept back a temperature
 is fitted, and a threshold that finds ``recall`` of their secrets with the fewest false findings.
-Candidates at or above it that overlap no base span are added as kind ``token``.
+Candidates at or above it are added as kind ``token``. Of runs that base spans touch, the parts beside them are
+candidates; a key that a fixed pattern matches only in part is one as a whole.
 
 Null and empty texts have no spans. Other columns are ignored by ``scan`` and kept by ``redact``.
 """
@@ -70,13 +71,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def _pieces(start: int, end: int, text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What base spans leave of a run. A fixed pattern (access, hex) may end inside a key: it is left with the key around it, up to delimiters."""
+    cuts = []
+    for s in base:
+        if s.end <= start or s.start >= end:
+            continue
+        left, right = max(s.start, start), min(s.end, end)
+        if s.kind != "assign":
+            while left > start and text[left - 1] not in "/=":
+                left -= 1
+            while right < end and text[right] not in "/=":
+                right += 1
+        cuts.append((left, right, s.kind == "assign"))
+    # an assignment reads its value to the end of the run: no piece reaches into one
+    upto = min((left for left, _, whole in cuts if whole), default=end)
+    at = start
+    for left, right, whole in sorted(cuts):
+        left, right = min(left, upto), min(right, upto)
+        if left > at:
+            yield at, left
+        if not whole and right > max(at, left) and not any(s.start <= max(at, left) and right <= s.end for s in base):
+            yield max(at, left), right
+        at = max(at, right)
+    if at < upto:
+        yield at, upto
+
+
 def more_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Key-like runs with a digit and a letter that touch no base span."""
+    """Key-like runs with a digit and a letter, and what base spans leave of such runs; none lies inside a base span."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s.start < m.end() and m.start() < s.end for s in base):
-            out.append(Span(m.start(), m.end(), "token", m.start()))
+        for start, end in _pieces(m.start(), m.end(), text, base):
+            part = text[start:end]
+            if len(part) >= SHORTEST and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+                out.append(Span(start, end, "token", start))
     return out
 
 
