@@ -195,7 +195,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED, most_lines: int = MOST_LINES) -> Model:
-    """Fit on labelled documents that are not held out, ``most`` at most."""
+    """Fit on labelled documents that are not held out, ``most`` at most; one that would pass ``most_lines`` is passed over, not those behind it."""
     known = common.only(labels, doc_id=id_col, label=label_col).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = common.only(docs, doc_id=id_col, text=text_col).join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
@@ -209,14 +209,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([full[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "label", "lines"])
 
     schema = rows.select("doc_id", "label").schema.add("lines", "binary")
-    found = common.stage(rows.mapInArrow(lines, schema), "labelled").withColumn("n", F.octet_length("lines"))
     width = 4 * (features(pa.array([""]))[0].shape[1] + 1)
-    got, total, x, label, doc = found.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "lines").toLocalIterator(), 0, [], [], []
-    for row in got:
-        n = len(row["lines"]) // width
-        if total + n > most_lines:
-            break
-        total += n
+    found = rows.mapInArrow(lines, schema).withColumn("n", F.expr(f"octet_length(lines) div {width}")).withColumn("row", F.monotonically_increasing_id())
+    found = common.stage(found, "labelled")
+    total, fit_in, x, label, doc = 0, [], [], [], []
+    for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "row").select("row", "n").toLocalIterator():
+        if total + row["n"] <= most_lines:
+            total += row["n"]
+            fit_in.append((row["row"],))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(fit_in, "row long"))
+    for row in found.join(chosen, "row").orderBy(F.xxhash64("doc_id"), "doc_id", "row").select("label", "n", "lines").toLocalIterator():
+        n = row["n"]
         x.append(np.frombuffer(row["lines"], np.float32).reshape(n, -1).astype(float))
         doc.append(np.full(n, len(label)))
         label.append(row["label"])

@@ -67,3 +67,15 @@ def test_without_labels_all_get_a_half(spark):
     assert all(abs(r["score"] - 0.5) < 1e-6 for r in rows)
     one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
     assert all(r["score"] > 0.99 for r in quality.score(odd(spark), quality.train(odd(spark), one)).collect())
+
+
+def test_one_long_document_does_not_end_the_sample(spark):
+    ids = spark.range(200).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(41)
+    ids = [r["id"] for r in ids.collect()]
+    texts = {i: "a plain line of words that goes on." if i % 2 else "@@ ## 17 || !!" for i in ids}
+    docs = [(i, "\n".join([texts[i]] * (300 if k == 0 else 2))) for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_lines=100) for rows in (docs, docs[1:])]
+    assert np.array_equal(models[0].weights, models[1].weights)
+    scored = [r["score"] for r in quality.score(spark.createDataFrame([(1, texts[i]) for i in ids], "doc_id long, text string"), models[0]).collect()]
+    assert max(scored) - min(scored) > 0.5
