@@ -13,7 +13,8 @@ its count is checked, and joined by shuffle beyond.
 
 A text without any term in the band is hashed by all its terms, in every subset. Null and empty
 texts have no terms: their fingerprint is all gaps, and equals itself. Repeated rows (same id and
-text) are one document in the order of documents, and each gets its row. Null ids come last.
+text) are one document in the order of documents, and each gets its row. Null ids come last. A long
+text is one row throughout. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,13 +149,18 @@ def successors(ids: DataFrame) -> DataFrame:
     return placed.withColumn("next", F.lead("k").over(inner)).join(firsts, "part").select("k", F.coalesce("next", "across").alias("next"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text; the id's length is spelled out, so that no two pairs share a string, nor does a null id with any other."""
+    return F.substring(F.sha2(F.concat(F.coalesce(F.concat(F.octet_length(doc_id).cast("string"), F.lit(":"), doc_id), F.lit("-")), F.lit(":"), text), 256), 1, 32)
+
+
 def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of each document, of its edited text (the last quarter replaced by the start of the next document), and their likenesses.
 
     The texts are dealt once by key; both joins and the collection of terms use that dealing.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key = F.substring(F.sha2(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit(":"), text), 256), 1, 32)
+    key = row_key(F.col(f"`{id_col}`").cast("string"), text)
     texts = docs.select(key.alias("k"), text.alias("text"))
     words = lexicon(texts.select("text"), low=low, high=high)
     ids = docs.select(key.alias("k"), F.col(f"`{id_col}`").alias("doc_id"), F.length(text).alias("n"))

@@ -2,7 +2,7 @@ import hashlib
 
 from palimpsest.llm import fingerprint
 
-from .odd import empty, odd
+from .odd import documents, empty, odd
 
 
 def test_odd_rows(spark):
@@ -44,3 +44,22 @@ def test_short_texts_have_prints_of_their_own(spark, monkeypatch):
         monkeypatch.setattr(fingerprint, "MOST_BROADCAST", most)
         prints = {r["doc_id"]: r["text_print"] for r in fingerprint.fingerprint(docs, words, ["text"], key="doc_id").collect()}
         assert len(set(prints.values())) == 61 and [i for i, p in prints.items() if set(p) == {"_", "-"}] == [60]
+
+
+def test_ids_and_texts_that_run_into_each_other(spark):
+    docs = spark.createDataFrame([("a:b", "c d e f"), ("a", "b:c d e f"), ("z", "other words entirely"), ("-", "same"), (None, "same")], "doc_id string, text string")
+    rows = fingerprint.with_edits(docs).collect()
+    assert sorted((r["doc_id"] or "", r["n_chars"]) for r in rows) == [("", 4), ("-", 4), ("a", 9), ("a:b", 7), ("z", 20)]
+
+
+def test_unrelated_short_texts_share_no_print(spark):
+    docs = spark.createDataFrame([(i, f"w{i * 7 % 101} v{i * 13 % 103} u{i}") for i in range(500)], "doc_id long, text string")
+    rows = fingerprint.with_edits(docs).collect()
+    assert len({r["fingerprint"] for r in rows}) == 500
+
+
+def test_both_lookups_agree_on_documents(spark, monkeypatch):
+    docs = documents(spark)
+    want = sorted(tuple(r) for r in fingerprint.with_edits(docs).collect())
+    monkeypatch.setattr(fingerprint, "MOST_BROADCAST", -1)
+    assert sorted(tuple(r) for r in fingerprint.with_edits(docs).collect()) == want
