@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,13 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a temporary folder is made and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on
+    this machine alone (tests), a temporary folder is made and set for the session.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
@@ -64,6 +69,29 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a set-up step per task: ``make()`` returns the function of a batch."""
 
@@ -73,6 +101,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
             if batch.num_rows:
                 step = step or make()
                 yield from step(batch)
+                release()
 
     return df.mapInArrow(run, schema)
 
@@ -100,12 +129,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _special(path: str) -> list[str]:
+    """The special tokens of a tokenizer file; its vocabulary is not read."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    at = text.find('"added_tokens"')
+    return [x["content"] for x in json.JSONDecoder().raw_decode(text[text.index("[", at) :])[0]] if at >= 0 else []
+
+
+@lru_cache(1)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Text to ids as the Hugging Face tokenizer file at ``path`` gives them, without special tokens added.
 
     Where the byte-level BPE ranks of the same vocabulary lie beside the file (``.tiktoken``), the
     faster implementation does the work; it yields the same ids (tests hold both against each
-    other). Texts that spell a special token go to the tokenizer file itself.
+    other). Texts that spell a special token go to the tokenizer file itself. A worker builds it once.
     """
     import base64
     import os
@@ -117,16 +155,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     if not os.path.exists(ranks_path):
         plain = Tokenizer.from_file(path)
         return lambda text: plain.encode(text, add_special_tokens=False).ids
-    import json
-
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    with open(path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+    special = _special(path)
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:

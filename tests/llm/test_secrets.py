@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -111,3 +112,36 @@ def test_candidates_and_base_spans_hold_every_long_rest(parts):
     for m in secrets.CANDIDATE.finditer(text):
         rest = "".join(c if i not in held else "\n" for i, c in enumerate(m.group(), m.start()))
         assert not any(len(r) >= 20 and any(c.isdigit() for c in r) and any(c.isalpha() for c in r) for r in rest.split("\n"))
+
+
+def test_network_finds_forms_it_was_not_trained_on():
+    """Keys of services and plain random keys from another generator, in another sentence; and names and addresses that are none."""
+    rng = np.random.default_rng(9)
+    letters, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+
+    def run(n, alphabet=letters):
+        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+
+    forms = [
+        lambda: "AIza" + run(35, letters + "_-"), lambda: "npm_" + run(36), lambda: "github_pat_" + run(22) + "_" + run(59), lambda: "SG." + run(22) + "." + run(43),
+        lambda: base64.b64encode(rng.bytes(33)).decode(), lambda: run(40), lambda: "shpat_" + run(32, hexes), lambda: "dop_v1_" + run(64, hexes), lambda: "pk_test_" + run(30),
+    ]
+    net = secrets.default_net()
+    for form in forms:
+        texts = [f"see the note, then use {form()} for it" for _ in range(60)]
+        assert np.mean([bool(every) for _, every, _ in secrets.find(texts, net)]) >= 0.95
+    words = "harbour letter window garden summer carriage between mountain yellow market".split()
+    harmless = [f"see {sep.join(rng.choice(words, 4))}{sep}{rng.integers(1, 99)} there" for sep in "/-_" for _ in range(60)]
+    assert np.mean([bool(every) for _, every, _ in secrets.find(harmless, net)]) <= 0.05
+
+
+def test_convolution_is_the_naive_one():
+    net = secrets.default_net()
+    rows = secrets.labelled_findings(6, seed=2)
+    x = secrets.codes([secrets.window(t, s, e) for t, s, e, _ in rows])
+    for codes, got in zip(x.tolist(), net.logits(x).tolist(), strict=True):
+        places = []
+        for at in range(secrets.WIDTH - net.taps + 1):
+            inputs = [v for j in range(at, at + net.taps) for v in (*net.embedding[codes[j]], float(secrets.BEFORE <= j < secrets.BEFORE + secrets.BODY))]
+            places.append([max(0.0, float(np.dot(inputs, net.kernel[:, f]) + net.bias[f])) for f in range(net.kernel.shape[1])])
+        assert abs(float(np.dot(np.max(places, 0), net.out) + net.out_bias) - got) < 1e-3
