@@ -20,8 +20,10 @@ every candidate pair is verified or its ends are joined through others, and clas
 the candidates.
 
 Null and empty texts, and texts of white space, have no shingles: they are near only to equal texts
-(null counts as empty). Repeated rows are equal texts. Null ids are kept; a class of them alone has
-a null class id. An empty table gives an empty result. Other columns are ignored.
+(null counts as empty). Repeated rows are equal texts; of rows equal in id and text one is kept. Null
+ids are kept; a class of them alone has a null class id. Of a long text only the hashes of its words
+and shingles are held, in a slice of its own. An empty table gives an empty result. Other columns are
+ignored, and returned by ``deduplicate`` as they are.
 """
 
 from __future__ import annotations
@@ -93,9 +95,9 @@ def probability_jaccard(a_keys: np.ndarray, a: np.ndarray, b_keys: np.ndarray, b
     return float((1 / (up_to / a_in + beyond / b_in)).sum())
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows of different id or text apart."""
-    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), digest(text))
+def row_key(doc_id: Column, node: Column) -> Column:
+    """Tells rows of different id or text apart: the text's digest, of fixed length, and the id."""
+    return F.concat(node, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")))
 
 
 def digest(text: Column) -> Column:
@@ -192,10 +194,10 @@ def _against_all(placed: DataFrame, work: DataFrame, texts: DataFrame, threshold
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = shingles.SHINGLE) -> DataFrame:
-    """doc_id, class_id (the least id of the class), keep (row key of the one row of the class that stays), row (this row's key)."""
+    """doc_id, class_id (the least id of the class), row (this row's key), kept (true of one row of each class)."""
     signed = common.stage(signatures(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, shingle=shingle), "signatures")
     nodes = common.stage(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    named = nodes.select("id", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "node").alias("row"))
+    named = nodes.select("id", row_key(F.col("doc_id"), F.col("node")).alias("row"))
 
     # buckets of two nodes and more: a count and a minimum for each, then back to their members
     hashed = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -204,7 +206,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # the texts of the candidates, once
     wanted = members.select("id").distinct().join(named, "id")
-    keyed = docs.select(row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(row_key(F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`"))).alias("row"), F.col(f"`{text_col}`").alias("text"))
     texts = common.stage(keyed.join(wanted, "row").groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
@@ -233,12 +235,15 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     rooted = nodes.select("id", "node", "doc_id").join(found.withColumnRenamed("key", "id"), "id", "left").select("id", "node", "doc_id", root.alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
-    keep = F.concat(F.coalesce(F.col("class_id").cast("string"), F.lit("-")), F.lit(":"), "first")
-    answer = rooted.join(firsts, "root").select("node", "class_id", keep.alias("keep"))
-    return signed.select("doc_id", "node").join(answer, "node").select("doc_id", "class_id", "keep", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "node").alias("row"))
+    answer = rooted.join(firsts, "root").select("node", "class_id", row_key(F.col("class_id"), F.col("first")).alias("keep"))
+    # equal rows are counted before the join, and only one of them is kept
+    counted = signed.groupBy("doc_id", "node").agg(F.count("*").cast("int").alias("n"))
+    row = row_key(F.col("doc_id"), F.col("node"))
+    return counted.join(answer, "node").select("doc_id", "class_id", row.alias("row"), (F.col("keep") == row).alias("least"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("doc_id", "class_id", "row", (F.col("least") & (F.col("copy") == 1)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that of the least id."""
-    kept = classes(docs, id_col=id_col, text_col=text_col, **options).where("keep = row").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("row")
+    name = common.unused(docs, "_row")
+    return docs.withColumn(name, row_key(F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`")))).join(kept.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name]).drop(name)

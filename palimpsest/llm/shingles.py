@@ -13,7 +13,7 @@ from palimpsest.llm import common
 SHINGLE = 5
 #: A slice holds fewer rows than this, so that a row's number and 50 bits of a hash share a word.
 ROW_BITS = 14
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2^64
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -28,8 +28,7 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_series(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_P, _P_INVERSE):
         x = np.full(n, base, np.uint64)
@@ -38,6 +37,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(1)
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_series(2 * SLICE_BYTES)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; only those of a slice are kept. More are wanted for a word that is longer than a slice."""
+    return _slice_powers() if n <= 2 * SLICE_BYTES else _power_series(n)
+
+
 def slices(batch: pa.RecordBatch, columns: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of bounded rows and bytes of these text columns; a row at least."""
     at = sum(common.utf8(batch.column(c))[1] for c in columns)
@@ -49,7 +58,29 @@ def slices(batch: pa.RecordBatch, columns: tuple[int, ...]) -> Iterator[pa.Recor
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (what ASCII white space divides), and the n + 1 offsets of the rows in them."""
+    """A hash of each word (what ASCII white space divides), and the n + 1 offsets of the rows in them.
+
+    Data longer than two slices (a row alone) is hashed in parts that end at white space.
+    """
+    if len(data) > 2 * SLICE_BYTES:
+        parts, counts, first = [], np.zeros(len(at), np.int64), 0
+        while first < len(data):
+            last = first + SLICE_BYTES
+            while last < len(data):
+                if len(gaps := np.flatnonzero(_SPACE[data[last : last + SLICE_BYTES]])):
+                    last += int(gaps[0])
+                    break
+                last += SLICE_BYTES
+            last = min(last, len(data))
+            words, places = _word_hashes(data[first:last], np.clip(at - first, 0, last - first))
+            parts.append(words)
+            counts += places
+            first = last
+        return np.concatenate(parts), counts
+    return _word_hashes(data, at)
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inside = ~_SPACE[data]
@@ -62,7 +93,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     after[-1], after[:-1] = False, inside[1:]
     after[at[full + 1] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(max(SLICE_BYTES, 1 << int(len(data) - 1).bit_length()))
+    power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values()[data] * power[: len(data)], out=sums[1:])
     return common.mix64((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, at)

@@ -117,9 +117,28 @@ def test_a_group_of_many_near_copies(spark, monkeypatch, strays, block):
 def test_odd_rows(spark):
     got = {}
     for r in neardup.classes(odd(spark)).collect():
-        got.setdefault(r["doc_id"], set()).add((r["class_id"], r["keep"] == r["row"]))
+        got.setdefault(r["doc_id"], set()).add((r["class_id"], r["kept"]))
     assert got[0] == {(0, True)} and got[5] == {(0, False)} and got[1] == {(1, True)} and got[2] == {(1, False)}
     assert got[3] == {(3, True)} and got[None] == {(None, True)}
     kept = neardup.deduplicate(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == 7
     assert neardup.classes(empty(spark)).count() == 0 and neardup.deduplicate(empty(spark)).count() == 0
+    assert neardup.deduplicate(odd(spark).withColumnRenamed("row", "_row")).columns.count("_row") == 1
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    docs = spark.createDataFrame([(0, "a text of some words"), (0, "a text of some words"), (1, "a text of some words"), (None, "-"), (None, "-")], "doc_id long, text string")
+    rows = neardup.classes(docs).collect()
+    assert len(rows) == 5 and {r["class_id"] for r in rows if r["kept"]} == {None, 0} and sum(r["kept"] for r in rows) == 2
+    assert neardup.deduplicate(docs).count() == 2
+
+
+def test_long_data_is_hashed_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join("x" * int(n) for n in rng.integers(1, 30, 3000)) + " " + "y" * 700 + "  end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.array([0, 10, 10, 20_000, len(data)])
+    whole, places = shingles.word_hashes(data, at)
+    monkeypatch.setattr(shingles, "SLICE_BYTES", 64)
+    parts, same = shingles.word_hashes(data, at)
+    assert (whole == parts).all() and (places == same).all()
