@@ -10,12 +10,15 @@
    further blocks, until none fits; at last the shortest one beyond is taken if that comes nearer.
 4. Splitting tree. The vector of block units by source is halved again and again over the output
    shards by multivariate-hypergeometric draws seeded by the node, so each shard can compute its own
-   exact quotas from the root, and they add up to the sources' units.
+   exact quotas from the root, and they add up to the sources' units. Of very many sources no task
+   holds the vector: all units are put into the order of a seeded hash and cut into equal runs, which
+   draws from the same distribution.
 5. Shards draw disjoint ranges of each source's permuted units, and order their documents by a
    seeded hash.
 
 Null and empty texts have size 0. Null sources are one source. Rows that repeat (same id, source
-and size) are taken together. Sources without words have target 0. An empty table gives an empty
+and size) are taken together. Sources without words have target 0. A text of any length is one
+document: where it doesn't fit into what is left, shorter ones are taken. An empty table gives an empty
 result. Other columns are ignored by ``plan`` and kept by ``Plan.apply``.
 """
 
@@ -40,10 +43,11 @@ SHARD_WORDS = 1 << 22
 LAST = 64
 #: numpy's hypergeometric draw takes populations under 10^9: blocks grow beyond this many.
 MOST_UNITS = 1 << 28
-#: One row a source goes to the driver and to every shard's task; more sources than this are refused.
-MOST_SOURCES = 1 << 20
-#: A source's row in a plan is under 100 bytes: so many are broadcast at most.
-BROADCAST_SOURCES = 10_000
+#: One row a source, of under 100 bytes, goes to the driver, to every shard's task, and to all tasks that
+#: size a source's documents. Of more sources the units are dealt out by a sorted hash, and joins shuffle.
+MOST_SOURCES = 10_000
+#: Subset sums are taken in so many steps at most, whatever a text's length.
+MOST_SUMS = 1 << 22
 
 
 def size_of(text: Column) -> Column:
@@ -86,8 +90,13 @@ def shard_quotas(units: np.ndarray, shards: int, shard: int, seed: int) -> tuple
 
 
 def best_subset(words: list[int], rest: float) -> list[int]:
-    """Places of numbers with the largest sum of at most ``rest``. Bit s of a set tells that some subset so far has sum s."""
-    reached, before, limit = 1, [], (1 << int(rest) + 1) - 1
+    """Places of numbers with the largest sum of at most ``rest``. Bit s of a set tells that some subset so far has sum s.
+
+    Where ``rest`` is over ``MOST_SUMS`` the numbers are rounded up to a ``MOST_SUMS``-th of it, so the sum still fits.
+    """
+    step = max(1, -(-int(rest) // MOST_SUMS))
+    words, rest = [-(-n // step) for n in words], int(rest) // step
+    reached, before, limit = 1, [], (1 << rest + 1) - 1
     for n in words:
         before.append(reached)
         reached |= reached << n & limit
@@ -189,6 +198,33 @@ def _block(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("n_blocks"))
 
 
+def _by_tree(units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(src, unit, shard): every shard walks the tree to its own quotas."""
+    by_source = units.groupBy("src").agg((F.max("unit") + 1).alias("n")).orderBy("src").collect()
+    names, counts = [r["src"] for r in by_source], np.array([r["n"] for r in by_source], np.int64)
+
+    def leaf(frames):
+        for frame in frames:
+            for shard in frame["id"]:
+                first, n = shard_quotas(counts, shards, int(shard), seed)
+                held = np.flatnonzero(n)
+                if len(held):
+                    yield pd.DataFrame({"src": [names[i] for i in held], "shard": int(shard), "first": first[held], "n": n[held]})
+
+    quotas = units.sparkSession.range(shards).mapInPandas(leaf, "src string, shard long, first long, n long")
+    return quotas.select("src", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("unit"))
+
+
+def _by_order(units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(src, unit, shard): all units in the order of a seeded hash, cut into equal runs; a sort, and one row a range partition."""
+    order = (F.xxhash64(F.lit(seed), "src", "unit"), "src", "unit")
+    ordered = common.stage(units.select("src", "unit").orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    placed = ordered.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND((1 << 33) - 1))
+    held = placed.groupBy("part").agg(F.count("*").alias("n"))
+    held = held.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return placed.join(held, "part").select("src", "unit", F.expr(f"((before + place + 1) * {shards} - 1) div total").alias("shard"))
+
+
 def plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7) -> tuple[Plan, DataFrame]:
     """The mix of ``docs`` and the table (doc_id, src, size) it was made from, both from one pass over the texts."""
     spark = docs.sparkSession
@@ -197,12 +233,10 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     sources = keyed.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = common.stage(targets(sources, weights=weights, share=share, cap=cap), "targets")
     n_sources, words, target_words = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be mixed")
     block_words = max(block_words, -(-words // MOST_UNITS))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.greatest("source_size", "n_docs") / F.lit(block_words)))).withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    few = n_sources <= BROADCAST_SOURCES
+    few = n_sources <= MOST_SOURCES
     plain = sources.select("src", "n_blocks", "passes", "rest")
     placed = keyed.join(F.broadcast(plain) if few else plain, "src").withColumn("block", _block(seed))
 
@@ -221,20 +255,8 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     units = blocks.select("src", "block", "split", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))).alias("pass"), "turn", "n_blocks", "passes", "slot")
     # numbers of blocks that hold no document stay unused
     units = units.withColumn("unit", F.col("pass") * F.col("n_blocks") + F.when(F.col("pass") < F.col("passes"), F.col("turn")).otherwise(F.col("slot")))
-    by_source = units.groupBy("src").agg((F.max("unit") + 1).alias("n")).orderBy("src").collect()
-    names, counts = [r["src"] for r in by_source], np.array([r["n"] for r in by_source], np.int64)
     shards = max(1, int(-(-target_words // shard_words)))
-
-    def leaf(frames):
-        for frame in frames:
-            for shard in frame["id"]:
-                first, n = shard_quotas(counts, shards, int(shard), seed)
-                held = np.flatnonzero(n)
-                if len(held):
-                    yield pd.DataFrame({"src": [names[i] for i in held], "shard": int(shard), "first": first[held], "n": n[held]})
-
-    quotas = spark.range(shards).mapInPandas(leaf, "src string, shard long, first long, n long")
-    owners = quotas.select("src", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("unit"))
+    owners = _by_tree(units, shards, seed) if few else _by_order(units, shards, seed)
     owned = units.join(owners, ["src", "unit"]).groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("copies"))
     blocks = blocks.select("src", "block", "split").join(owned, ["src", "block"], "left")
     blocks = common.stage(blocks.select("src", "block", "split", F.coalesce(F.col("copies.shard"), F.expr("array()").cast("array<bigint>")).alias("block_shards")), "shards")
@@ -248,8 +270,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def shards(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: all columns of ``docs``, a row for each copy, with ``_shard``; dealt by shard and shuffled inside."""
+    """The mix itself: all columns of ``docs``, a row for each copy, with ``_shard`` (with one more underscore if there is such a column); dealt by shard and shuffled inside."""
     names = {"id_col": id_col, "source_col": source_col, "text_col": text_col}
     made, _ = plan(docs, **names, **options)
-    rows = made.apply(docs, **names).select("doc", "doc_id", F.posexplode("shards").alias("copy", "_shard"))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(made.seed + 2), "doc_id", "copy")).select("doc.*", "_shard")
+    rows = made.apply(docs, **names).select("doc", "doc_id", F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(made.seed + 2), "doc_id", "copy"))
+    return rows.select("doc.*", F.col("shard").alias(common.unused(docs, "_shard")))

@@ -40,12 +40,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.classes(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("keep") == F.col("row")).alias("kept"))
+    return neardup.classes(common.table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
