@@ -8,7 +8,8 @@ keeps the outcome if it needs fewer sequences, and this is repeated until none d
 partition's count and bound are those of the documents it holds in the end.
 
 Null and empty texts are one piece of one token (the end token). Documents that repeat are packed
-as often as they occur. An empty table gives an empty result. Other columns are ignored.
+as often as they occur. An empty table gives an empty result. A long text is encoded as a whole, in a
+slice of its own; slices are bounded by bytes, and so is what a task holds. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm import common
+from palimpsest.llm import common, shingles
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -49,7 +50,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     def make() -> Callable:
         encode = common.encoder(path)
 
-        def step(batch: pa.RecordBatch):
+        def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 ids = encode(text.as_py() or "")
@@ -65,7 +66,11 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                         kept.append(arr[s : s + n].astype(np.int32))
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             columns += [pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+        def step(batch: pa.RecordBatch):
+            for part in shingles.slices(batch, (1,)):
+                yield cut_up(part)
 
         return step
 

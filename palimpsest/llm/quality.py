@@ -235,6 +235,7 @@ def scorer(model: Model):
         out = []
         for part in shingles.slices(pa.RecordBatch.from_arrays([text], names=["text"]), (0,)):
             out.append(model.document(part.column(0)))
+        common.release()
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score
