@@ -18,7 +18,8 @@ so one conversation may hold any share of the rows.
 
 Null conversations are one conversation; null turns count as -1; null roles and texts as empty. Of
 several calls or results with one id the first counts, the others have status ``repeated``; of rows
-that repeat, each is an item. Other columns are ignored.
+that repeat, each is an item. Messages of one turn come in the order of a hash of role and text, so the
+result doesn't hang on the files' order. A long text is one item of one row throughout. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +35,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm import common
+from palimpsest.llm import common, shingles
 
 RUN = 256
-#: Bounds nothing any more: chains of any length are followed to their end.
-MOST_TURNS = 200
 
 Schema = dict[str, Any]
 _TYPES: dict[str, Callable[[Any], bool]] = {
@@ -130,19 +129,24 @@ _ITEMS = T.StructType([T.StructField(n, t) for n, t in (("place", T.IntegerType(
 
 
 def items(messages: DataFrame, tools: dict[str, Schema], *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each message without calls, call, and result: conv_id, turn, role, place, kind, call_id, after, error, json."""
+    """One row for each message without calls, call, and result: conv_id, turn, tie (what orders messages of one turn), role, place, kind, call_id, after, error, json."""
     src = common.only(messages, conv_id=conv_col, turn=F.coalesce(F.col(f"`{turn_col}`").cast("long"), F.lit(-1)), role=F.coalesce(F.col(f"`{role_col}`"), F.lit("")), text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    src = src.select("conv_id", "turn", F.xxhash64("role", "text").alias("tie"), "role", "text")
 
     def make() -> Callable:
         def step(batch: pa.RecordBatch):
+            for part in shingles.slices(batch, (4,)):
+                yield split_up(part)
+
+        def split_up(batch: pa.RecordBatch) -> pa.RecordBatch:
             owner, rows = [], []
-            for i, (role, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (role, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 for place, item in enumerate(_items(role, text, tools)):
                     owner.append(i)
                     rows.append((place, item["kind"], item.get("call_id"), item.get("after", []), item.get("error"), canonical(item["body"])))
             kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
             at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in range(3)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["conv_id", "turn", "role", *_ITEMS.names])
+            return pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in range(4)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["conv_id", "turn", "tie", "role", *_ITEMS.names])
 
         return step
 
@@ -187,7 +191,9 @@ def cyclic(after: dict[int, list[int]]) -> set[int]:
     return out
 
 
-Key = tuple[int, int, int, int]
+Key = tuple[int, int, int, int, int]
+#: An item's own key: its message's turn and tie, its place there; then steps behind that, and the row.
+PLACED = ("turn", "tie", "place")
 
 
 def ordered(edges: list[tuple[int, int]], own: dict[int, Key]) -> tuple[dict[int, Key], set[int]]:
@@ -204,8 +210,8 @@ def ordered(edges: list[tuple[int, int]], own: dict[int, Key]) -> tuple[dict[int
     while ready:
         node = ready.pop()
         if node in last and last[node] >= own[node]:
-            turn, place, step, _ = last[node]
-            keys[node] = (turn, place, step + 1, node)
+            *place, step, _ = last[node]
+            keys[node] = (*place, step + 1, node)
         for later in after.get(node, ()):
             if later not in loops:
                 last[later] = max(last.get(later, keys[node]), keys[node])
@@ -219,10 +225,10 @@ def _reorder(rows: pd.DataFrame) -> pd.DataFrame:
     """A conversation's edges to its moved items and those on cycles."""
     own: dict[int, Key] = {}
     for end in ("before", "later"):
-        own |= {r: (t, p, 0, r) for r, t, p in zip(rows[end].tolist(), rows[f"{end}_turn"].tolist(), rows[f"{end}_place"].tolist(), strict=True)}
+        own |= {r: (*at, 0, r) for r, *at in zip(rows[end].tolist(), *(rows[f"{end}_{c}"].tolist() for c in PLACED), strict=True)}
     moved, loops = ordered(list(zip(rows["before"].tolist(), rows["later"].tolist(), strict=True)), own)
-    found = [(n, n in loops, *moved.get(n, own[n])[:3]) for n in sorted(moved.keys() | loops)]
-    return pd.DataFrame(found, columns=["row", "cycle", "m_turn", "m_place", "m_step"])
+    found = [(n, n in loops, *moved.get(n, own[n])[:4]) for n in sorted(moved.keys() | loops)]
+    return pd.DataFrame(found, columns=["row", "cycle", *(f"m_{c}" for c in PLACED), "m_step"])
 
 
 def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataFrame:
@@ -231,10 +237,10 @@ def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataF
     status: ``message``; of calls ``linked``, ``unanswered``, ``cycle`` or ``repeated``; of results
     ``linked``, ``orphan`` or ``repeated``. valid: of calls, whether name and arguments fit; else null.
     """
-    found = items(messages, tools, **columns).withColumn("row", F.monotonically_increasing_id()).withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
-    found = common.stage(found, "items")
-    ids = found.where(F.col("call_id").isNotNull()).select("conv", "call_id", "kind", "row", "turn", "place")
-    ends = ids.groupBy("conv", "call_id").agg(*[F.min(F.when(F.col("kind") == k, F.struct("turn", "place", "row"))).alias(k) for k in ("call", "result")])
+    found = items(messages, tools, **columns).withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    found = common.stage(found.withColumn("row", F.monotonically_increasing_id()), "items")
+    ids = found.where(F.col("call_id").isNotNull()).select("conv", "call_id", "kind", "row", *PLACED)
+    ends = ids.groupBy("conv", "call_id").agg(*[F.min(F.when(F.col("kind") == k, F.struct(*PLACED, "row"))).alias(k) for k in ("call", "result")])
     ends = common.stage(ends.select("conv", "call_id", F.col("call.row").alias("call_row"), F.col("result.row").alias("result_row")), "links")
 
     # edges between items: a call to its result, and the results a call needs to it
@@ -243,14 +249,14 @@ def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataF
     answers = ends.where("call_row is not null and result_row is not null").select("conv", F.col("call_row").alias("before"), F.col("result_row").alias("later"))
     edges = answers.unionByName(needs).where("before is not null").distinct()
 
-    # key: (turn, place, steps behind that, row)
     for end in ("before", "later"):
-        edges = edges.join(found.select(F.col("row").alias(end), F.col("turn").alias(f"{end}_turn"), F.col("place").alias(f"{end}_place")), end)
+        edges = edges.join(found.select(F.col("row").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in PLACED]), end)
     edges = common.stage(edges, "edges")
-    late = edges.where(F.struct("later_turn", "later_place", "later") <= F.struct(F.col("before_turn").alias("later_turn"), F.col("before_place").alias("later_place"), F.col("before").alias("later")))
+    key_of = lambda end: F.struct(*[F.col(f"{end}_{c}").alias(c) for c in PLACED], F.col(end).alias("row"))
+    late = edges.where(key_of("later") <= key_of("before"))
     late = common.stage(late.select("conv").distinct(), "late")
-    moved = edges.join(late, "conv", "left_semi").groupBy("conv").applyInPandas(_reorder, "row long, cycle boolean, m_turn long, m_place int, m_step int")
-    moved = common.stage(moved, "moved").select("row", "cycle", F.struct(F.col("m_turn").alias("turn"), F.col("m_place").alias("place"), F.col("m_step").alias("step"), "row").alias("key"))
+    moved = edges.join(late, "conv", "left_semi").groupBy("conv").applyInPandas(_reorder, "row long, cycle boolean, m_turn long, m_tie long, m_place int, m_step int")
+    moved = common.stage(moved, "moved").select("row", "cycle", F.struct(*[F.col(f"m_{c}").alias(c) for c in (*PLACED, "step")], "row").alias("key"))
 
     marks = ends.select(F.explode(F.array(F.struct(F.col("call_row").alias("row"), F.col("result_row").isNotNull().alias("met")), F.struct(F.col("result_row").alias("row"), F.col("call_row").isNotNull().alias("met")))).alias("m")).select("m.row", "m.met").where("row is not null")
     rows = found.join(marks, "row", "left").join(moved, "row", "left")
@@ -262,7 +268,7 @@ def link(messages: DataFrame, tools: dict[str, Schema], **columns: str) -> DataF
         .when(F.col("met"), "linked")
         .otherwise(F.when(F.col("kind") == "call", "unanswered").otherwise("orphan"))
     )
-    own = F.struct("turn", "place", F.lit(0).alias("step"), "row")
+    own = F.struct(*PLACED, F.lit(0).alias("step"), "row")
     rows = rows.withColumn("status", status).withColumn("key", F.coalesce("key", own)).withColumn("run", F.floor(F.col("key.turn") / RUN))
     rows = common.stage(rows, "linked")
 
@@ -285,12 +291,26 @@ RESPOND: dict[str, Schema] = {
 }
 
 
+#: How ``as_tool_traffic`` logs a conversation, by its id modulo the number of kinds; the other ids are in order.
+KINDS, LATE_CALLS, REVERSED, CYCLIC = 8, 1, 2, 3
+
+
 def as_tool_traffic(messages: DataFrame) -> DataFrame:
-    """Plain conversations as tool traffic, row by row: a user's turn calls ``respond``, needing the call two turns before; an assistant's turn is the result for the turn before it."""
+    """Plain conversations as tool traffic, row by row: a user's turn t is a call of ``respond``, logged at 2 t; an assistant's turn is the result for the turn before it.
+
+    Kinds of logs: in order, each call needing the one two turns before; ``LATE_CALLS``: each result is
+    logged just before its call; ``REVERSED``: each call needs the one two turns later; ``CYCLIC``:
+    each needs both.
+    """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
+    kind = F.coalesce(F.pmod(F.col("conv_id").cast("long"), F.lit(KINDS)), F.lit(0))
     quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("v")))
     value = F.expr("substring(q, 6, length(q) - 6)")
-    call = F.concat(F.lit('{"tool_calls":[{"id":"'), F.col("t").cast("string"), F.lit('","name":"respond","after":["'), (F.col("t") - 2).cast("string"), F.lit('"],"arguments":{"turn":'), F.col("t").cast("string"), F.lit(',"prompt":'), value, F.lit("}}]}"))
-    result = F.concat(F.lit('{"tool_call_id":"'), (F.col("t") - 1).cast("string"), F.lit('","content":'), value, F.lit("}"))
-    rows = messages.select("conv_id", turn.alias("t"), "role", "text", quoted.alias("q"))
-    return rows.select("conv_id", F.col("t").alias("turn"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+    text = lambda c: c.cast("string")
+    earlier, later = text(F.col("t") - 2), text(F.col("t") + 2)
+    needs = F.when(F.col("kind") == REVERSED, later).when(F.col("kind") == CYCLIC, F.concat(earlier, F.lit('","'), later)).otherwise(earlier)
+    call = F.concat(F.lit('{"tool_calls":[{"id":"'), text(F.col("t")), F.lit('","name":"respond","after":["'), needs, F.lit('"],"arguments":{"turn":'), text(F.col("t")), F.lit(',"prompt":'), value, F.lit("}}]}"))
+    result = F.concat(F.lit('{"tool_call_id":"'), text(F.col("t") - 1), F.lit('","content":'), value, F.lit("}"))
+    logged = 2 * F.col("t") - F.when((F.col("kind") == LATE_CALLS) & (F.col("role") == "assistant"), 3).otherwise(0)
+    rows = messages.select("conv_id", turn.alias("t"), "role", "text", quoted.alias("q"), kind.alias("kind"))
+    return rows.select("conv_id", logged.alias("turn"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import fingerprint, licenses
+from palimpsest.llm import chat, fingerprint, licenses
 
 
 def _prints(entries: str, plain: str) -> str:
@@ -69,26 +69,44 @@ SELECT doc_id, name AS template, len(held)::DOUBLE / n AS containment,
 FROM pairs WHERE len(held)::DOUBLE / n >= {licenses.CONTAINMENT}
 """
 
-#: Turns are unique in a conversation, so an item's position is its rank by turn.
-OP10 = """
+#: Turns are unique in a conversation. The kind of its log tells how its items are ordered: in order, by
+#: logged turn; late calls, each result right behind its call; reversed, each chain of calls two turns
+#: apart behind its last one, from the last to the first; cyclic chains stay at their turns.
+OP10 = f"""
 WITH m AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text, to_json(coalesce(text, ''))::VARCHAR AS q FROM conversations
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, to_json(coalesce(text, ''))::VARCHAR AS q, conv_id % {chat.KINDS} AS kind FROM conversations
 ), linked AS (
-  SELECT a.*, b.role AS prior, c.role AS following
+  SELECT a.*, b.role AS prior, c.role AS following, d.role AS two_on, e.role AS two_back,
+         2 * a.turn - CASE WHEN a.kind = {chat.LATE_CALLS} AND a.role = 'assistant' THEN 3 ELSE 0 END AS logged
   FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 LEFT JOIN m c ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+       LEFT JOIN m d ON a.conv_id = d.conv_id AND a.turn = d.turn - 2 LEFT JOIN m e ON a.conv_id = e.conv_id AND a.turn = e.turn + 2
+), chains AS (
+  SELECT *, CASE WHEN role = 'user' THEN turn WHEN role = 'assistant' AND prior = 'user' THEN turn - 1 END AS call_turn FROM linked
+), ends AS (
+  SELECT conv_id, turn AS last, following = 'assistant' AS answered FROM chains WHERE role = 'user' AND two_on IS DISTINCT FROM 'user'
+), placed AS (
+  SELECT c.*, e.last, coalesce(e.answered, false) AS answered
+  FROM chains c ASOF LEFT JOIN (SELECT conv_id, last, answered, last % 2 AS parity FROM ends) e ON c.conv_id = e.conv_id AND c.call_turn % 2 = e.parity AND c.call_turn <= e.last
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, last ORDER BY call_turn DESC, role = 'assistant') - 1 - CASE WHEN answered THEN 1 ELSE 0 END AS behind FROM placed
+), keyed AS (
+  SELECT *, CASE WHEN kind = {chat.LATE_CALLS} AND role = 'assistant' AND prior = 'user' THEN 2 * (turn - 1)
+                 WHEN kind = {chat.REVERSED} AND last IS NOT NULL AND behind > 0 THEN 2 * last + CASE WHEN answered THEN 2 ELSE 0 END ELSE logged END AS spot,
+         CASE WHEN kind = {chat.LATE_CALLS} AND role = 'assistant' AND prior = 'user' THEN 1 WHEN kind = {chat.REVERSED} AND last IS NOT NULL AND behind > 0 THEN behind ELSE 0 END AS step
+  FROM numbered
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY spot, step) - 1 AS position, logged AS turn,
        CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role,
        CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
        CASE role WHEN 'user' THEN turn::VARCHAR WHEN 'assistant' THEN (turn - 1)::VARCHAR END AS call_id,
-       CASE role WHEN 'user' THEN CASE WHEN following = 'assistant' THEN 'linked' ELSE 'unanswered' END
+       CASE role WHEN 'user' THEN CASE WHEN kind = {chat.CYCLIC} AND (two_on = 'user' OR two_back = 'user') THEN 'cycle' WHEN following = 'assistant' THEN 'linked' ELSE 'unanswered' END
                  WHEN 'assistant' THEN CASE WHEN prior = 'user' THEN 'linked' ELSE 'orphan' END ELSE 'message' END AS status,
        CASE WHEN role = 'user' THEN text <> '' END AS valid,
        CASE WHEN role = 'user' AND text = '' THEN '$.prompt: too short' END AS error,
-       CASE role WHEN 'user' THEN '{"arguments":{"prompt":' || q || ',"turn":' || turn || '},"id":"' || turn || '","name":"respond","role":"user"}'
-                 WHEN 'assistant' THEN '{"content":' || q || ',"role":"tool","tool_call_id":"' || (turn - 1) || '"}'
-                 ELSE '{"content":' || q || ',"role":' || to_json(role)::VARCHAR || '}' END AS json
-FROM linked
+       CASE role WHEN 'user' THEN '{{"arguments":{{"prompt":' || q || ',"turn":' || turn || '}},"id":"' || turn || '","name":"respond","role":"user"}}'
+                 WHEN 'assistant' THEN '{{"content":' || q || ',"role":"tool","tool_call_id":"' || (turn - 1) || '"}}'
+                 ELSE '{{"content":' || q || ',"role":' || to_json(role)::VARCHAR || '}}' END AS json
+FROM keyed
 """
 
 SQL: dict[str, str] = {"op10_chat_formatting": OP10, "op5_license_scans": OP5, "op7_document_fingerprints": OP7}
