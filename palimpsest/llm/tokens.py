@@ -1,17 +1,19 @@
 """Token counts by field or section, from one encoding of the whole document.
 
 A byte-level tokenizer loses no byte, so the running sum of its tokens' byte lengths gives every
-token's span. Sections are character spans in ascending order that don't overlap; where none are
-given, they are the lines, each with its line feed, and tile the text. A token inside one section
-counts there. One that crosses a boundary is allocated by the rule:
+token's span. Sections are character spans; where none are given, they are the lines, each with its
+line feed, and tile the text. Of sections that overlap, the one that starts first (of ties, the one listed
+first) has what they share, and the next begins behind it. A token inside one section counts there. One that crosses a boundary is allocated by the rule:
 
 * ``first``: to the section of its first byte;
 * ``most``: to the section that holds most of its bytes, the earlier one where they are equal;
 * ``share``: to each section by its share of the bytes.
 
 Bytes in no section go to none. Null and empty texts have one empty line with no tokens, or the
-given sections with none. A null list of sections counts as no sections. Repeated rows are counted
-each on its own. Other columns are ignored.
+given sections with none. A null list of sections counts as no sections; a section that is null, has a
+null bound or ends before it starts has no tokens; bounds beyond the text stop at it. Repeated rows are
+counted each on its own. A long text is encoded as a whole, in a slice of its own. An empty table gives
+an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +80,18 @@ def attribute(token_ends: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule
     return count, crossing
 
 
+def disjoint(spans: np.ndarray) -> np.ndarray:
+    """Spans (start, end) in place of overlapping ones: in the order of their starts, each begins where those before have ended."""
+    order = np.argsort(spans[:, 0], kind="stable")
+    out = spans.copy()
+    upto = 0
+    for i in order.tolist():
+        out[i, 0] = max(out[i, 0], upto)
+        out[i, 1] = max(out[i, 1], out[i, 0])
+        upto = out[i, 1]
+    return out
+
+
 def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sections_col: str | None = None, rule: str = "most", tokenizer: str | None = None) -> DataFrame:
     """A row for each section: doc_id, section (from 0), start, end (code points, end exclusive), n_tokens, n_crossing, and the document's doc_tokens.
 
@@ -104,27 +118,29 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", se
                     if len(token_ends) and token_ends[-1] != len(own):
                         raise ValueError("the tokenizer is not byte-level: its tokens don't add up to the text")
                     if sections_col:
-                        given = part.column(2)[i].as_py() or []
+                        given = [list((x or {}).values())[:2] or [None, None] for x in part.column(2)[i].as_py() or []]
                         chars = np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own))
-                        spans = np.array([list(x.values())[:2] for x in given], np.int64).reshape(-1, 2)
-                        if (spans[1:, 0] < spans[:-1, 1]).any() or (spans[:, 0] > spans[:, 1]).any():
-                            raise ValueError("sections overlap or are out of order")
-                        inside = np.clip(spans, 0, len(chars) - 1)
-                        starts, ends = chars[inside[:, 0]], chars[inside[:, 1]]
+                        # a section without bounds stands empty at the start
+                        spans = np.array([[0, 0] if None in x else x for x in given], np.int64).reshape(-1, 2)
+                        inside = disjoint(np.clip(spans, 0, len(chars) - 1))
+                        order = np.lexsort((inside[:, 1], inside[:, 0]))
+                        n, cross = np.zeros(len(spans)), np.zeros(len(spans), np.int64)
+                        n[order], cross[order] = attribute(token_ends, chars[inside[order, 0]], chars[inside[order, 1]], rule)
                     else:
                         starts, ends = line_spans(own)
                         before = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                        spans = np.column_stack([before[starts], before[ends]])
-                    n, cross = attribute(token_ends, starts, ends, rule)
+                        spans, given = np.column_stack([before[starts], before[ends]]), None
+                        n, cross = attribute(token_ends, starts, ends, rule)
                     owner.append(np.full(len(n), i))
                     section.append(np.arange(len(n)))
-                    first.append(spans[:, 0])
-                    last.append(spans[:, 1])
+                    first += spans[:, 0].tolist() if given is None else [x[0] for x in given]
+                    last += spans[:, 1].tolist() if given is None else [x[1] for x in given]
                     tokens.append(n)
                     crossing.append(cross)
                     total.append(np.full(len(n), len(token_ends)))
-                columns = [np.concatenate(x) for x in (owner, section, first, last, tokens, crossing, total)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0].astype(np.int64)))] + [pa.array(c.astype(np.float64 if k == 4 else np.int64)) for k, c in enumerate(columns) if k], names=schema.names)
+                at_rows, section, tokens, crossing, total = (np.concatenate(x) for x in (owner, section, tokens, crossing, total))
+                numbers = [pa.array(x, kind) for x, kind in ((section, pa.int64()), (first, pa.int64()), (last, pa.int64()), (tokens, pa.float64()), (crossing, pa.int64()), (total, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at_rows, pa.int64())), *numbers], names=schema.names)
 
         return step
 
