@@ -10,6 +10,8 @@ from palimpsest.llm import common, packing
 
 from .odd import documents, empty, odd
 
+_plain = None
+
 
 def check_layout(rows, capacity):
     at = defaultdict(list)
@@ -72,8 +74,18 @@ def test_tokens_are_those_of_the_tokenizer(spark):
 
     plain = Tokenizer.from_file(common.default_tokenizer())
     encode = common.encoder(common.default_tokenizer())
-    texts = [r["text"] for r in documents(spark).limit(60).collect()] + ["", " ", "a <|endoftext|> b", "é\U0001f600 ñ\n\n x"]
-    assert all(encode(t) == plain.encode(t, add_special_tokens=False).ids for t in texts)
+    texts = [r["text"] or "" for r in documents(spark, "sf0.01").collect()] + ["", " ", "a <|endoftext|> b", "é\U0001f600 ñ\n\n x"]
+    assert [encode(t) for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "don't", "é", "ñ", "\u00a0", "\u200b", "\U0001f600", "12", "٣", "a", "The", "<|endoftext|>", "<|", "…", "ſ"]), max_size=20).map("".join)))
+def test_tokens_of_any_text(text):
+    from tokenizers import Tokenizer
+
+    global _plain
+    _plain = _plain or Tokenizer.from_file(common.default_tokenizer())
+    assert common.encoder(common.default_tokenizer())(text) == _plain.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("per_partition", [10_000, 25])

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from palimpsest.llm import common, mixing, neardup, packing, quality, secrets
 
-from .odd import DATA, documents
+from .odd import DATA, documents, empty, odd
 from .test_neardup import brute
 from .test_packing import check_layout
 
@@ -54,3 +54,19 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, str(DATA)).collect()
     check_layout(rows, packing.CAPACITY)
     assert neardup.THRESHOLD == 0.8
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("make", [odd, empty])
+def test_stages_stand_odd_rows(spark, tmp_path, make):
+    """Nulls, empty and long texts, repeated rows, an empty table, and extra columns with the names that stages use themselves."""
+    docs = make(spark).withColumnsRenamed({"size": "_shard", "row": "_row", "k": "copies", "section": "doc"})
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(DATA))
+        last = i == len(corpus_pipeline.STAGES) - 1
+        assert last or out.columns == columns
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert bool(docs.count()) == (make is odd)
+    check_layout(docs.collect(), packing.CAPACITY)
