@@ -77,7 +77,7 @@ def db_diff(spark, args):
         for r in t.columns().collect():
             print(f"    {r['column']}: {r['changes']} ({r['pct']:.1f} %)")
         if args.verbose:
-            for r in t.rows.limit(10).collect():
+            for r in t.rows.orderBy(*[F.col(f"`{c}`") for c in new.tables[name].primary_key]).limit(10).collect():
                 print(f"    {r['status']} {r.asDict(recursive=True)}")
     print(", ".join(f"{n} rows {k}" for k, n in found.totals().items()) if found.has_changes else "no changes")
 

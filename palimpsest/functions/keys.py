@@ -31,7 +31,7 @@ def row_key(table: str, columns: Sequence[str | Column]) -> Column:
 
 
 def table_of_schema_key(key: Column) -> Column:
-    return F.substring(key, len(SCHEMA_PREFIX) + 1, 1 << 20)
+    return F.substr(key, F.lit(len(SCHEMA_PREFIX) + 1))
 
 
 def table_of_row_key(key: Column) -> Column:

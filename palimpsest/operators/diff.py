@@ -100,13 +100,16 @@ class TableDiff:
         return column_counts(self.rows)
 
     def summary(self) -> str:
-        n, parts = self.counts(), []
-        if self.schema.any:
-            parts.append("schema changed")
-        parts += [f"{sign}{n[k]} rows" for sign, k in (("+", ADDED), ("-", DELETED), ("~", MODIFIED)) if n[k]]
-        if n[MODIFIED]:
-            parts.append("columns: " + ", ".join(sorted(r["column"] for r in self.columns().collect())))
-        return ", ".join(parts) or "no changes"
+        n = self.counts()
+        return describe(self.schema, n, [r["column"] for r in self.columns().collect()] if n[MODIFIED] else [])
+
+
+def describe(schema: SchemaChange, n: Mapping[str, int], columns: Sequence[str]) -> str:
+    parts = ["schema changed"] if schema.any else []
+    parts += [f"{sign}{n[k]} rows" for sign, k in (("+", ADDED), ("-", DELETED), ("~", MODIFIED)) if n[k]]
+    if n[MODIFIED]:
+        parts.append("columns: " + ", ".join(sorted(columns)))
+    return ", ".join(parts) or "no changes"
 
 
 def table_diff(name: str, old: DataFrame, new: DataFrame, old_pk: Sequence[str], new_pk: Sequence[str]) -> TableDiff:
@@ -122,27 +125,48 @@ def table_diff(name: str, old: DataFrame, new: DataFrame, old_pk: Sequence[str],
 
 @dataclass
 class DatabaseDiff:
+    """Tables that came and went, and the differences of those in both; these are counted once, all tables in one aggregation."""
+
     added: list[str]
     removed: list[str]
     common: dict[str, TableDiff]
+    _counts: dict[str, dict[str, int]] | None = None
+    _columns: dict[str, list[str]] | None = None
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """Rows added, deleted and modified in each table of both."""
+        if self._counts is None:
+            empty = {name: {k: 0 for k in (ADDED, DELETED, MODIFIED)} for name in self.common}
+            columns: dict[str, list[str]] = {name: [] for name in self.common}
+            rows = None
+            for name, t in self.common.items():
+                part = t.rows.select(F.lit(name).alias("name"), "status", "changed_columns")
+                rows = part if rows is None else rows.unionByName(part)
+            # a row counts under its status and, if it was modified, under each of its columns
+            if rows is not None:
+                named = F.transform("changed_columns", lambda c: F.concat(F.lit("="), c))
+                for r in rows.select("name", "status", F.explode(F.concat(F.array(F.lit("")), named)).alias("c")).groupBy("name", "status", "c").agg(F.count("*").alias("n")).collect():
+                    if r["c"]:
+                        columns[r["name"]].append(r["c"][1:])
+                    else:
+                        empty[r["name"]][r["status"]] = r["n"]
+            self._counts, self._columns = empty, columns
+        return self._counts
 
     def changed(self) -> dict[str, TableDiff]:
-        return {k: v for k, v in self.common.items() if v.schema.any or not v.rows.isEmpty()}
+        return {k: v for k, v in self.common.items() if v.schema.any or any(self.counts()[k].values())}
 
     @property
     def has_changes(self) -> bool:
         return bool(self.added or self.removed or self.changed())
 
     def totals(self) -> dict[str, int]:
-        out = {ADDED: 0, DELETED: 0, MODIFIED: 0}
-        for t in self.common.values():
-            for k, n in t.counts().items():
-                out[k] += n
-        return out
+        return {k: sum(n[k] for n in self.counts().values()) for k in (ADDED, DELETED, MODIFIED)}
 
     def summary(self) -> str:
+        n = self.counts()
         parts = [f"+ table {t}" for t in self.added] + [f"- table {t}" for t in self.removed]
-        parts += [f"~ table {k}: {v.summary()}" for k, v in self.changed().items()]
+        parts += [f"~ table {k}: {describe(v.schema, n[k], self._columns[k])}" for k, v in self.changed().items()]
         return "\n".join(parts) or "no changes"
 
 

@@ -6,6 +6,8 @@ import warnings
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import validate
 from palimpsest.sources import sqlite
 from palimpsest.sources.repository import Draft, Repository
@@ -39,6 +41,11 @@ def import_database(repo: Repository, path: str, tables: Sequence[str] | None =
     return draft.commit(message or default, author), counts
 
 
-def sorted_problems(repo: Repository, table: str, ref: str = "HEAD", limit: int = 5):
-    """The first keys of a table that occur twice."""
-    return validate.duplicates(repo.snapshot(ref).keyed(table), ["_key"], limit)
+def sorted_problems(repo: Repository, table: str, ref: str = "HEAD", limit: int = 5) -> list[tuple[str, str, str | None]]:
+    """The first problems of a table's order: keys that occur twice, and leaves that don't begin above the one before; (key, problem, key before)."""
+    snap = repo.snapshot(ref)
+    twice = validate.duplicates(snap.keyed(table), ["_key"], limit).select("_key", F.lit("duplicate").alias("problem"), F.col("_key").alias("previous"))
+    leaves = snap.leaves(table)
+    after = leaves.select((F.col("ord") + 1).alias("ord"), F.col("last_key").alias("previous"))
+    across = leaves.join(after, "ord").where(F.col("first_key") <= F.col("previous")).select(F.col("first_key").alias("_key"), F.lit("out of order").alias("problem"), "previous")
+    return [tuple(r) for r in twice.unionByName(across).orderBy("_key", "problem").limit(limit).collect()]

@@ -6,11 +6,12 @@
     snapshots/<root>.json                            tables: columns, types, key, root of the table's tree
     manifests/<root>/                                Parquet: table, leaf_hash, ord, first_key, last_key, n_entries, n_bytes
     trees/<root>/                                    Parquet: edges of the tables' trees
-    writes/<id>.json, data/<id>/, index/<id>/        rows of new leaves, sorted by key; which leaves they are
+    data/_write=<id>/, index/<id>/                   rows of new leaves, sorted by key; which leaves they are
 
 A leaf's rows are written once, whichever snapshots share them. Everything is written before the
 commit, and the commit before its ref, so a job that dies leaves at most garbage. Reading a table at
-a version reads the writes that hold its leaves; a difference reads only the leaves not shared.
+a version is one scan of the writes that hold its leaves; reads by key or prefix take the leaves that
+can hold them, by the manifest's bounds; a difference reads only the leaves not shared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from palimpsest.functions import hashes, keys
 from palimpsest.operators import chunking, diff, graph, scans, stats, upsert, validate
 from palimpsest.sources.commits import Commit, CommitStore, RefConflict
 from palimpsest.sources.files import Files
-from palimpsest.sources.staging import cut
+from palimpsest.sources.staging import cut, scratch
 
 #: The table of plain key-value entries; its keys are the whole key.
 KV = "_kv"
@@ -39,7 +40,7 @@ INDEX = "leaf_hash string, write string, write_ord long, n_entries long"
 #: Manifest rows are under 500 bytes; a selection of more leaves is joined by shuffle.
 BROADCAST_LEAVES = 20_000
 LEAVES_PER_FILE = 250_000
-INTERNAL = ("_key", "_ord")
+INTERNAL = ("_key", "_ord", "_write")
 
 
 @dataclass(frozen=True)
@@ -109,13 +110,25 @@ class Snapshot:
     def table(self, name: str) -> DataFrame:
         return self.keyed(name).drop(*INTERNAL)
 
+    def _within(self, name: str, start: str) -> DataFrame:
+        """Rows with _key that starts so, from the leaves that can hold such keys."""
+        if not start:
+            return self.keyed(name)
+        leaves = self.leaves(name).where((F.col("last_key") >= start) & ((F.col("first_key") <= start) | F.col("first_key").startswith(start)))
+        return scans.prefix(self.keyed(name, leaves), start, "_key")
+
     def read_rows(self, name: str, prefix: str = "", raw: bool = False) -> DataFrame:
         """Rows whose key text starts with ``prefix``; ``raw``: as JSON arrays in column order."""
         info = self._info(name)
-        start = prefix if name == KV else f"{keys.ROW_PREFIX}{name}/{prefix}"
-        rows = scans.prefix(self.keyed(name), start, "_key") if prefix else self.keyed(name)
+        rows = self._within(name, prefix if name == KV else f"{keys.ROW_PREFIX}{name}/{prefix}") if prefix else self.keyed(name)
         return rows.select(value_text(name, info).alias("value")) if raw else rows.drop(*INTERNAL)
 
+    def seek(self, name: str, target: str) -> DataFrame:
+        """Rows from the first key text that is not below ``target`` on, in no order."""
+        self._info(name)
+        start = target if name == KV else f"{keys.ROW_PREFIX}{name}/{target}"
+        return scans.seek(self.keyed(name, self.leaves(name).where(F.col("last_key") >= start)), start, "_key").drop(*INTERNAL)
+
     def count_rows(self, name: str) -> int:
         """From the manifest; no row is read."""
         self._info(name)
@@ -132,13 +145,26 @@ class Snapshot:
         for name, info in self.tables.items():
             start = "" if name == KV else f"{keys.ROW_PREFIX}{name}/"
             if start.startswith(prefix) or prefix.startswith(start):
-                rows = scans.prefix(self.keyed(name), prefix, "_key")
+                rows = self._within(name, prefix if prefix.startswith(start) else "")
                 out = out.unionByName(rows.select(F.col("_key").alias("key"), value_text(name, info).alias("value")))
         return out
 
     def get(self, key: str) -> str | None:
-        found = scans.point(self.entries(key), key).select("value").head()
-        return found[0] if found else None
+        """The entry's value; of the one table that can have the key, one leaf is read."""
+        if key.startswith(keys.SCHEMA_PREFIX) and key[len(keys.SCHEMA_PREFIX) :] in self.list_tables():
+            return self.tables[key[len(keys.SCHEMA_PREFIX) :]].described()
+        for name in (n for n in (key.removeprefix(keys.ROW_PREFIX).split("/")[0] if key.startswith(keys.ROW_PREFIX) else None, KV) if n in self.tables):
+            leaf = self.leaves(name).where((F.col("first_key") <= key) & (F.col("last_key") >= key))
+            if found := scans.point(self.keyed(name, leaf), key, "_key").select(value_text(name, self.tables[name])).head():
+                return found[0]
+        return None
+
+    def node(self, name: str) -> dict | None:
+        """A node by its hash: its bounds and sizes if it is a leaf, its children if it is not, else None."""
+        if leaf := self.leaves().where(F.col("leaf_hash") == name).head():
+            return {"is_leaf": True} | leaf.asDict()
+        children = self.edges().where(F.col("parent_hash") == name).orderBy("ord").select("ord", "child_hash", "separator", "level").collect()
+        return {"is_leaf": False, "level": children[0]["level"], "children": [(r["child_hash"], r["separator"]) for r in children]} if children else None
 
     def edges(self) -> DataFrame:
         return self.repo.spark.read.schema(EDGES_SCHEMA).parquet(self.repo.files.path(f"trees/{self.root}"))
@@ -353,6 +379,13 @@ class Repository:
     def snapshot(self, ref: str = "HEAD") -> Snapshot:
         return Snapshot(self, self._commit_of(ref).tree_root)
 
+    def snapshot_at(self, root: str) -> Snapshot:
+        """The snapshot of a tree root, whether a commit has it or not."""
+        return Snapshot(self, root)
+
+    def _side(self, at: str | Snapshot) -> Snapshot:
+        return at if isinstance(at, Snapshot) else self.snapshot(at)
+
     def table(self, name: str, ref: str = "HEAD") -> DataFrame:
         return self.snapshot(ref).table(name)
 
@@ -371,20 +404,27 @@ class Repository:
         return self.spark.read.schema(INDEX).parquet(*[self.files.path(f"index/{n}") for n in names])
 
     def _rows(self, leaves: DataFrame, info: TableInfo) -> DataFrame:
-        """Rows (with _key) of the leaves of one table."""
-        kind = T.StructType([*info.schema.fields, T.StructField("_key", T.StringType()), T.StructField("_ord", T.LongType())])
-        placed = cut(leaves.select("leaf_hash").distinct().join(self._index(), "leaf_hash").groupBy("leaf_hash").agg(F.min(F.struct("write", "write_ord")).alias("at")).select("at.write", "at.write_ord"))
-        out = None
-        for r in placed.groupBy("write").agg(F.count("*").alias("n")).collect():
-            at = json.loads(self.files.read(f"writes/{r['write']}.json"))
-            rows = self.spark.read.schema(kind).parquet(self.files.path(at["data"]))
-            if r["n"] < at["leaves"]:
-                wanted = placed.where(F.col("write") == r["write"]).select(F.col("write_ord").alias("_ord"))
-                rows = rows.join(F.broadcast(wanted) if r["n"] <= BROADCAST_LEAVES else wanted, "_ord", "left_semi").select(kind.names)
-            out = rows if out is None else out.unionByName(rows)
-        return out if out is not None else self.spark.createDataFrame([], kind)
+        """Rows (with _key) of the leaves of one table: one scan, whatever the number of writes."""
+        kind = T.StructType([*info.schema.fields, T.StructField("_key", T.StringType()), T.StructField("_ord", T.LongType()), T.StructField("_write", T.StringType())])
+        index = self._index()
+        placed = leaves.select("leaf_hash").distinct().join(index, "leaf_hash").groupBy("leaf_hash").agg(F.min(F.struct("write", "write_ord")).alias("at")).select(F.col("at.write").alias("_write"), F.col("at.write_ord").alias("_ord"))
+        asked = placed.groupBy(F.col("_write").alias("write")).agg(F.count("*").alias("n")).join(index.groupBy("write").agg(F.count("*").alias("all")), "write").collect()
+        if not asked:
+            return self.spark.createDataFrame([], kind)
+        rows = self._data([r["write"] for r in asked], kind)
+        if any(r["n"] < r["all"] for r in asked):
+            few = sum(r["n"] for r in asked) <= BROADCAST_LEAVES
+            rows = rows.join(F.broadcast(placed) if few else placed, ["_write", "_ord"], "left_semi").select(kind.names)
+        return rows
+
+    def _data(self, writes: Sequence[str], kind: T.StructType) -> DataFrame:
+        return self.spark.read.schema(kind).option("basePath", self.files.path("data")).parquet(*[self.files.path(f"data/_write={w}") for w in sorted(writes)])
 
     def _write(self, draft: Draft) -> str:
+        with scratch(self.spark):
+            return self._write_all(draft)
+
+    def _write_all(self, draft: Draft) -> str:
         spec, spark = self.spec() if self.files.exists("refs") else chunking.Spec(**json.loads(self.files.read("config.json") or "{}")), self.spark
         manifest = spark.createDataFrame([], MANIFEST)
         edges = spark.createDataFrame([], chunking.EDGES)
@@ -412,27 +452,32 @@ class Repository:
 
     def _write_table(self, name: str, info: TableInfo, rows: DataFrame, spec: chunking.Spec) -> tuple[DataFrame, DataFrame, str]:
         """Chunk a table and write the leaves that aren't there yet; (leaves, edges, root)."""
-        key, value = full_key(name, info), value_text(name, info)
-        sized = rows.select(*info.columns, key.alias("_key"), value.alias("_value"))
-        sized = sized.select(*info.columns, "_key", (F.octet_length("_key") + F.coalesce(F.octet_length("_value"), F.lit(0))).cast("long").alias("_size"), hashes.boundary_hash(F.col("_key"), spec.seed).alias("_mark"), hashes.entry_digest(F.col("_key"), F.col("_value")).alias("_digest"))
-        assigned = cut(chunking.assign(sized, spec))
-        bad = assigned.groupBy("_key").count().where("count > 1 or _key is null").limit(1).collect()
-        if bad:
-            raise ValueError(f"table {name!r}: key {bad[0]['_key']!r} is null or not unique")
-        salt = chunking.node_hash([name, info.schema.json()])
-        leaves = cut(chunking.leaves(assigned, salt))
+        value = value_text(name, info)
+
+        def measure(found: DataFrame) -> DataFrame:
+            size = F.octet_length("_key") + F.coalesce(F.octet_length("_value"), F.lit(0))
+            # a null key is told of later; until then it has a size and a digest like others
+            return found.select("*", value.alias("_value")).select(
+                *found.columns, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.coalesce(hashes.boundary_hash(F.col("_key"), spec.seed), F.lit(0)).alias("_mark"),
+                F.coalesce(hashes.entry_digest(F.col("_key"), F.col("_value")), F.lit("0" * chunking.DIGEST)).alias("_digest"),
+            )
+
+        made = chunking.chunk(rows.select(*info.columns, full_key(name, info).alias("_key")), spec, chunking.node_hash([name, info.schema.json()]), measure)
+        if made.wrong:
+            raise ValueError(f"table {name!r}: key {made.wrong[0]!r} is null or not unique")
+        leaves = made.leaves
         fresh = cut(leaves.join(self._index().select("leaf_hash").distinct(), "leaf_hash", "left_anti").select("leaf_hash", F.col("ord").alias("_ord"), "n_entries"))
         n = fresh.count()
         if n:
-            self._store(assigned.select(*info.columns, "_key", "_ord").join(fresh.select("_ord"), "_ord", "left_semi").select(*info.columns, "_key", "_ord") if n < leaves.count() else assigned.select(*info.columns, "_key", "_ord"), fresh, n)
+            kept = fresh.select("_ord")
+            self._store(made.rows.join(F.broadcast(kept) if n <= BROADCAST_LEAVES else kept, "_ord", "left_semi").select(made.rows.columns) if n < leaves.count() else made.rows, fresh, n)
         root, edges = chunking.tree(self.spark, leaves, spec, chunking.node_hash(["empty", name]))
         return leaves, edges, root
 
     def _store(self, rows: DataFrame, fresh: DataFrame, n: int) -> str:
         """Write rows (columns, _key, _ord) of n leaves given by (leaf_hash, _ord, n_entries)."""
         write = uuid.uuid4().hex
-        rows.sortWithinPartitions("_key").write.parquet(self.files.path(f"data/{write}"))
-        self.files.write(f"writes/{write}.json", json.dumps({"data": f"data/{write}", "leaves": n}))
+        rows.sortWithinPartitions("_key").write.parquet(self.files.path(f"data/_write={write}"))
         fresh.select("leaf_hash", F.lit(write).alias("write"), F.col("_ord").alias("write_ord"), "n_entries").coalesce(4).write.parquet(self.files.path(f"index/{write}"))
         return write
 
@@ -449,9 +494,9 @@ class Repository:
         both = a.withColumn("o", F.lit(1)).join(b.withColumn("n", F.lit(1)), ["table", "leaf_hash"], "full_outer")
         return both.agg(F.count(F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), 1)).alias("leaves_skipped"), F.count(F.when(F.col("n").isNull(), 1)).alias("old_leaves"), F.count(F.when(F.col("o").isNull(), 1)).alias("new_leaves"))
 
-    def diff(self, old: str = "HEAD~", new: str = "HEAD", prefix: str = "") -> DataFrame:
-        """Key-value events between two versions: rows, schemas and plain entries."""
-        return self.diff_snapshots(self.snapshot(old), self.snapshot(new), prefix)
+    def diff(self, old: str | Snapshot = "HEAD~", new: str | Snapshot = "HEAD", prefix: str = "") -> DataFrame:
+        """Key-value events between two versions (refs, or snapshots of any root): rows, schemas and plain entries."""
+        return self.diff_snapshots(self._side(old), self._side(new), prefix)
 
     def diff_snapshots(self, a: Snapshot, b: Snapshot, prefix: str = "") -> DataFrame:
         empty = self.spark.createDataFrame([], "key string, value string")
@@ -473,8 +518,8 @@ class Repository:
                     sides[i] = sides[i].unionByName(r.select(F.col("_key").alias("key"), value_text(name, s.tables[name]).alias("value")))
         return diff.kv_diff(*sides, prefix)
 
-    def row_diff(self, name: str, old: str = "HEAD~", new: str = "HEAD") -> DataFrame:
-        return self.table_diff(name, self.snapshot(old), self.snapshot(new)).rows
+    def row_diff(self, name: str, old: str | Snapshot = "HEAD~", new: str | Snapshot = "HEAD") -> DataFrame:
+        return self.table_diff(name, self._side(old), self._side(new)).rows
 
     def table_diff(self, name: str, a: Snapshot, b: Snapshot) -> diff.TableDiff:
         x, y = a._info(name), b._info(name)
@@ -484,8 +529,8 @@ class Repository:
             old, new = a.table(name), b.table(name)
         return diff.table_diff(name, old, new, x.primary_key, y.primary_key)
 
-    def db_diff(self, old: str = "HEAD~", new: str = "HEAD", tables: Sequence[str] | None = None) -> diff.DatabaseDiff:
-        a, b = self.snapshot(old), self.snapshot(new)
+    def db_diff(self, old: str | Snapshot = "HEAD~", new: str | Snapshot = "HEAD", tables: Sequence[str] | None = None) -> diff.DatabaseDiff:
+        a, b = self._side(old), self._side(new)
         wanted = set(tables) if tables else set(a.list_tables()) | set(b.list_tables())
         x, y = set(a.list_tables()) & wanted, set(b.list_tables()) & wanted
         return diff.DatabaseDiff(sorted(y - x), sorted(x - y), {t: self.table_diff(t, a, b) for t in sorted(x & y)})
@@ -518,19 +563,8 @@ class Repository:
         out = {k: counts[k] for k in ("total", "reachable", "garbage")}
         if dry_run:
             return out
-        live = cut(self._live_leaves(kept).withColumnRenamed("node", "leaf_hash"))
-        index = cut(self._index())
-        alive = {r["write"]: r["n"] for r in index.join(live, "leaf_hash", "left_semi").groupBy("write").agg(F.count("*").alias("n")).collect()}
-        for r in index.groupBy("write").agg(F.count("*").alias("n")).collect():
-            write, n = r["write"], alive.get(r["write"], 0)
-            if n == r["n"]:
-                continue
-            if n:  # move the leaves that stay into a write of their own
-                mine = index.where(F.col("write") == write).join(live, "leaf_hash", "left_semi").select("leaf_hash", F.col("write_ord").alias("_ord"), "n_entries")
-                at = json.loads(self.files.read(f"writes/{write}.json"))
-                self._store(self.spark.read.parquet(self.files.path(at["data"])).join(mine.select("_ord"), "_ord", "left_semi"), mine, n)
-            for part in (f"index/{write}", f"writes/{write}.json", f"data/{write}"):
-                self.files.delete(part)
+        with scratch(self.spark):
+            self._sweep(kept)
         for name in self.files.list("snapshots"):
             if (root := name.removesuffix(".json")) not in kept:
                 for part in (f"snapshots/{name}", f"manifests/{root}", f"trees/{root}"):
@@ -544,10 +578,30 @@ class Repository:
             raise RuntimeError(f"{left} leaves are left, not {out['reachable']}")
         return out
 
+    def _sweep(self, kept: set[str]) -> None:
+        """Delete writes without a live leaf, and move the leaves that stay out of the others."""
+        live = cut(self._live_leaves(kept).withColumnRenamed("node", "leaf_hash"))
+        index = cut(self._index())
+        alive = {r["write"]: r["n"] for r in index.join(live, "leaf_hash", "left_semi").groupBy("write").agg(F.count("*").alias("n")).collect()}
+        for r in index.groupBy("write").agg(F.count("*").alias("n")).collect():
+            write, n = r["write"], alive.get(r["write"], 0)
+            if n == r["n"]:
+                continue
+            if n:  # move the leaves that stay into a write of their own
+                mine = index.where(F.col("write") == write).join(live, "leaf_hash", "left_semi").select("leaf_hash", F.col("write_ord").alias("_ord"), "n_entries")
+                rows = self.spark.read.parquet(self.files.path(f"data/_write={write}"))
+                self._store(rows.join(mine.select("_ord"), "_ord", "left_semi"), mine, n)
+            for part in (f"index/{write}", f"data/_write={write}"):
+                self.files.delete(part)
+
     # --- exchange
 
     def _copy_to(self, other: Repository, commits: list[tuple[str, Commit]]) -> int:
         """Copy commits (newest first) with what their snapshots need and ``other`` lacks; leaves copied."""
+        with scratch(self.spark):
+            return self._copy_all(other, commits)
+
+    def _copy_all(self, other: Repository, commits: list[tuple[str, Commit]]) -> int:
         copied = 0
         for root in dict.fromkeys(c.tree_root for _, c in reversed(commits)):
             if other.files.exists(f"snapshots/{root}.json"):
@@ -562,12 +616,10 @@ class Repository:
                 spans = snap.leaves(name).join(missing, "leaf_hash", "left_semi").select("first_key", "last_key", F.col("ord").alias("_ord"), "leaf_hash", "n_entries")
                 located = missing.select("leaf_hash", "_to").join(self._index(), "leaf_hash").groupBy("leaf_hash", "_to").agg(F.min(F.struct("write", "write_ord")).alias("at")).select("_to", "at.write", "at.write_ord")
                 located = cut(located)
-                parts = None
-                kind = T.StructType([*info.schema.fields, T.StructField("_key", T.StringType()), T.StructField("_ord", T.LongType())])
-                for r in located.select("write").distinct().collect():
-                    at = json.loads(self.files.read(f"writes/{r['write']}.json"))
-                    rows = self.spark.read.schema(kind).parquet(self.files.path(at["data"])).withColumnRenamed("_ord", "write_ord").join(located.where(F.col("write") == r["write"]).select("write_ord", F.col("_to").alias("_ord")), "write_ord").select(*info.columns, "_key", "_ord")
-                    parts = rows if parts is None else parts.unionByName(rows)
+                kind = T.StructType([*info.schema.fields, T.StructField("_key", T.StringType()), T.StructField("write_ord", T.LongType()), T.StructField("_write", T.StringType())])
+                stored = T.StructType([*kind.fields[:-2], T.StructField("_ord", T.LongType()), kind.fields[-1]])
+                held = self._data([r["write"] for r in located.select("write").distinct().collect()], stored).toDF(*kind.names)
+                parts = held.join(located.select(F.col("write").alias("_write"), "write_ord", F.col("_to").alias("_ord")), ["_write", "write_ord"]).select(*info.columns, "_key", "_ord")
                 other._store(parts, spans.select("leaf_hash", "_ord", "n_entries").dropDuplicates(["leaf_hash"]), n)
                 copied += n
             snap.leaves().write.mode("overwrite").parquet(other.files.path(f"manifests/{root}"))

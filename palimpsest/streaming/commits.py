@@ -5,6 +5,7 @@ This goes beyond what versioned tables need: it lets a stream be the writer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -17,12 +18,15 @@ from palimpsest.sources.repository import Repository
 def committer(repo: Repository, table: str, order: Sequence[str], author: str = "") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: upserts the batch (the last row of a key by ``order`` counts) and commits.
 
-    A batch that is run again after a failure finds its number in the log and does nothing.
+    A batch that is run again after a failure finds its number in the log and does nothing: batches
+    are numbered upwards, so the last one of this table tells, however many other commits came after it.
     """
+    pattern = re.compile(rf"Batch (\d+) of {re.escape(table)}")
 
     def commit(batch: DataFrame, number: int) -> None:
         message = f"Batch {number} of {table}"
-        if any(c.message == message for _, c in repo.log(max_count=64)):
+        done = next((int(m[1]) for _, c in repo.log() if (m := pattern.fullmatch(c.message))), -1)
+        if done >= number:
             return
         draft = repo.draft()
         draft.insert_rows(table, batch, order)

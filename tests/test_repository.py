@@ -1,7 +1,7 @@
 """Commits, branches, time travel, pruned diffs, garbage collection, exchange, imports, streams, command line."""
 
+import os
 import sqlite3
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +86,46 @@ def test_root_does_not_depend_on_history(spark, repo):
     assert d.write() == repo._commit_of("HEAD~1").tree_root
 
 
+def test_reads_by_key_take_few_leaves(spark, repo):
+    snap = repo.snapshot()
+    got = sorted(str(r["id"]) for r in snap.seek("t", "995").collect())
+    assert got == sorted(str(i) for i in range(2000) if str(i) >= "995")
+    leaf = snap.leaves("t").orderBy("ord").first()
+    assert snap.node(leaf["leaf_hash"])["first_key"] == leaf["first_key"] and snap.node("nothing") is None
+    inner = snap.edges().where("level = 1").first()["parent_hash"]
+    assert not snap.node(inner)["is_leaf"] and len(snap.node(inner)["children"]) > 1
+    held = snap.leaves("t").where((F.col("last_key") >= "/d/t/199") & ((F.col("first_key") <= "/d/t/199") | F.col("first_key").startswith("/d/t/199"))).count()
+    assert held < snap.leaves("t").count() / 3
+
+
+def test_many_writes_are_one_scan_and_nothing_is_left_behind(spark, tmp_path, repo):
+    from palimpsest.sources.staging import shared_dir
+
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    r = Repository.init(spark, str(tmp_path / "many"), "me", SPEC)
+    d = r.draft()
+    d.create_table("t", "id long, v string", ["id"])
+    d.insert_rows("t", table(spark, 600))
+    d.commit("0")
+    for i in range(4):
+        d = r.draft()
+        d.insert_rows("t", spark.createDataFrame([(i * 150, f"changed {i}")], "id long, v string"))
+        d.commit(f"c{i}")
+    assert len(r.files.list("data")) >= 4
+    found = r.table("t")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8
+    assert found.count() == 600 and found.where("v like 'changed%'").count() == 4
+    assert set(os.listdir(top)) == before
+
+
+def test_diff_of_any_roots(repo):
+    a, b = repo.snapshot_at(repo.snapshot("HEAD~1").root), repo.snapshot_at(repo.snapshot().root)
+    assert repo.diff(a, b).count() == repo.diff("HEAD~1", "HEAD").count() > 0
+    assert repo.db_diff(a, b).totals() == {"added": 0, "deleted": 1, "modified": 2}
+    assert repo.db_diff(a, b).summary() == "~ table t: -1 rows, ~2 rows, columns: v"
+
+
 def test_structure_is_sound(repo):
     assert repo.snapshot().problems().count() == 0
     assert {r["is_leaf"] for r in repo.snapshot().stats().collect()} == {True, False}
@@ -181,13 +221,13 @@ def test_gc_push_pull(spark, tmp_path):
 def make_sqlite(path):
     db = sqlite3.connect(path)
     db.executescript("""
-        CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL, email TEXT, age INTEGER);
-        INSERT INTO users VALUES (1,'Alice','alice@example.com',30),(2,'Bob',NULL,25),(3,'Eve','eve@example.com',NULL);
-        CREATE TABLE orders (customer_id INTEGER, order_id INTEGER, product TEXT, amount REAL, PRIMARY KEY (customer_id, order_id));
-        INSERT INTO orders VALUES (1,100,'Laptop',999.99),(1,101,'Mouse',29.99),(2,100,'Keyboard',79.99);
-        CREATE TABLE plain (note TEXT, n INTEGER);
-        INSERT INTO plain VALUES ('a', 1), ('a', 1), ('b', 'not a number');
-        CREATE TABLE empty_table (id INTEGER PRIMARY KEY, data TEXT);
+        CREATE TABLE stations (code INTEGER PRIMARY KEY, place TEXT NOT NULL, line TEXT, height INTEGER);
+        INSERT INTO stations VALUES (4,'Northgate','red',112),(9,'Mill Lane',NULL,87),(31,'Quay','blue',NULL);
+        CREATE TABLE departures (station INTEGER, minute INTEGER, bound_for TEXT, fare REAL, PRIMARY KEY (station, minute));
+        INSERT INTO departures VALUES (4,615,'Quay',3.25),(4,640,'Mill Lane',1.5),(9,622,'Northgate',1.5);
+        CREATE TABLE remarks (note TEXT, n INTEGER);
+        INSERT INTO remarks VALUES ('late', 1), ('late', 1), ('lost', 'not a number');
+        CREATE TABLE unused (k INTEGER PRIMARY KEY, what TEXT);
     """)
     db.commit()
     db.close()
@@ -198,18 +238,19 @@ def test_sqlite_import(spark, tmp_path):
     make_sqlite(path)
     r = Repository.init(spark, str(tmp_path / "repo"), "me")
     _, counts = imports.import_database(r, path)
-    assert counts == {"empty_table": 0, "orders": 3, "plain": 3, "users": 3}
+    assert counts == {"unused": 0, "departures": 3, "remarks": 3, "stations": 3}
     snap = r.snapshot()
-    assert snap.list_tables() == ["orders", "plain", "users"]
-    assert snap.tables["orders"].primary_key == ("customer_id", "order_id") and snap.tables["orders"].declared == ("INTEGER", "INTEGER", "TEXT", "REAL")
-    assert snap.get("/d/orders/1/100") == '[1,100,"Laptop",999.99]' and snap.get("/d/users/2") == '[2,"Bob",null,25]'
-    assert sorted(x["product"] for x in snap.read_rows("orders", "1/").collect()) == ["Laptop", "Mouse"]
-    assert [tuple(x) for x in snap.table("plain").orderBy("rowid").collect()] == [(1, "a", 1), (2, "a", 1), (3, "b", None)]
+    assert snap.list_tables() == ["departures", "remarks", "stations"]
+    assert snap.tables["departures"].primary_key == ("station", "minute") and snap.tables["departures"].declared == ("INTEGER", "INTEGER", "TEXT", "REAL")
+    assert snap.get("/d/departures/4/615") == '[4,615,"Quay",3.25]' and snap.get("/d/stations/9") == '[9,"Mill Lane",null,87]'
+    assert sorted(x["bound_for"] for x in snap.read_rows("departures", "4/").collect()) == ["Mill Lane", "Quay"]
+    assert [tuple(x) for x in snap.table("remarks").orderBy("rowid").collect()] == [(1, "late", 1), (2, "late", 1), (3, "lost", None)]
+    assert imports.sorted_problems(r, "remarks") == []
     with pytest.warns(UserWarning, match="nowhere"):
-        imports.import_database(r, path, ["users", "nowhere"])
-    assert r.snapshot().list_tables() == ["users"]
-    imports.import_database(r, path, ["orders"], merge=True)
-    assert r.snapshot().list_tables() == ["orders", "users"]
+        imports.import_database(r, path, ["stations", "nowhere"])
+    assert r.snapshot().list_tables() == ["stations"]
+    imports.import_database(r, path, ["departures"], merge=True)
+    assert r.snapshot().list_tables() == ["departures", "stations"]
     with pytest.raises(ValueError):
         sqlite.describe(path, "nowhere")
 
@@ -236,6 +277,12 @@ def test_stream_of_commits(spark, tmp_path):
     q = streams.commit_stream(source, r, "e", ["seq"], str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(map(tuple, r.table("e").collect())) == [(1, "new"), (2, "y")]
+    # a batch that runs again commits nothing, however many commits came since
+    for i in range(3):
+        r.commit(r.snapshot().root, f"other {i}")
+    at = r.resolve("HEAD")
+    streams.committer(r, "e", ["seq"])(spark.createDataFrame([(1, "again", 9)], "id long, v string, seq int"), 0)
+    assert r.resolve("HEAD") == at
     feed = streams.change_feed(r, "e", start)
     assert sorted((x["id"], x["status"]) for x in feed.collect()) == [(1, "modified"), (2, "added")]
 
@@ -253,15 +300,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "no repository" in run("log", ok=False)
     assert "Initialized" in run("init")
     assert "there is a repository" in run("init", ok=False)
-    assert "users: 3 rows" in run("import-sqlite", path, "--tables", "users")
+    assert "stations: 3 rows" in run("import-sqlite", path, "--tables", "stations")
     assert "Committed" in run("set", "k", "v")
     assert run("get", "k").strip() == "v" and "no such key" in run("get", "zz", ok=False)
     assert "+ k => v" in run("diff") and "1 added, 0 deleted" in run("diff", "--limit", "0")
-    assert "/d/users/1" in run("dump", "--prefix", "/d/users/")
+    assert "/d/stations/4" in run("dump", "--prefix", "/d/stations/")
     assert "import" in run("log").lower() and run("log", "--max-count", "1").count("commit ") == 1
     assert "Created" in run("branch", "dev") and "* dev" in run("branch")
     assert "Switched" in run("checkout", "main")
     assert "both:" in run("commonality") and "root" in run("print-tree", "--verbose")
-    assert "+ table users (3 rows" in run("db-diff", "HEAD~2", "HEAD~1") and "no changes" in run("db-diff")
+    assert "+ table stations (3 rows" in run("db-diff", "HEAD~2", "HEAD~1") and "no changes" in run("db-diff")
     assert "0 would be removed" in run("gc", "--dry-run")
     assert "Pushed" in run("push", str(tmp_path / "remote")) and "Pulled 0 commits" in run("pull", str(tmp_path / "remote"))
