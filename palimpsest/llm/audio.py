@@ -5,10 +5,12 @@ granules are silent: the payload lies in the ancillary bytes behind the side inf
 units of 64 bytes, and players see a valid file. The header's CRC covers the side information.
 
 ``parse`` reads any MPEG 1, 2 and 2.5 audio stream of layers I to III: ID3v1 and ID3v2 tags, Xing,
-Info and VBRI tables, frames found again after damage, CRCs of layers I and III, the exact duration
-as a fraction, and the byte offset of every frame.
+Info and VBRI tables, frames found again after damage, CRCs of layers I and III (those of layer II
+cover its bit allocation, which is not decoded: they count as unread), the exact duration as a
+fraction, and the byte offset of every frame.
 
-Null and empty texts give 64 zero bytes. Other columns are ignored.
+Null and empty texts give 64 zero bytes. Repeated rows give equal values each. A long text is one
+stream, in a slice of its own. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,6 +91,7 @@ class Stream:
     table: dict[str, object] = field(default_factory=dict)
     crc_good: int = 0
     crc_bad: int = 0
+    crc_unread: int = 0
     skipped: int = 0  # bytes passed over in search of a header
     seconds: Fraction = Fraction(0)
 
@@ -98,20 +101,30 @@ def _synchsafe(four: bytes) -> int:
 
 
 def _id3v2(data: bytes, out: Stream) -> int:
-    """Reads the tag at the start, if any; the offset behind it."""
+    """Reads the tag at the start, if any (2.2 to 2.4, unsynchronised or with an extended header too); the offset behind it."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    version, end = data[3], 10 + _synchsafe(data[6:10])
-    at = 10
-    while at + 10 <= min(end, len(data)) and data[at]:
-        name, size = data[at : at + 4].decode("latin-1"), _synchsafe(data[at + 4 : at + 8]) if version == 4 else int.from_bytes(data[at + 4 : at + 8])
-        body = data[at + 10 : at + 10 + size]
-        if name[0] == "T" and body:
-            text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text.rstrip("\0"))
+    version, flags, end = data[3], data[5], 10 + _synchsafe(data[6:10])
+    body = data[10:end]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and version > 2:
+        at = 4 + int.from_bytes(body[:4]) if version == 3 else _synchsafe(body[:4])
+    letters, lead = (3, 6) if version == 2 else (4, 10)
+    compressed = version == 2 and flags & 0x40
+    while not compressed and at + lead <= len(body) and body[at]:
+        name, number = body[at : at + letters].decode("latin-1"), body[at + letters : at + 2 * letters]
+        size = _synchsafe(number) if version == 4 else int.from_bytes(number)
+        held = body[at + lead : at + lead + size]
+        if version == 4 and body[at + 9] & 2:
+            held = held.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and held:
+            text = held[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(held[0], 3)], "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text.rstrip("\0"))
             out.tags[key] = value.rstrip("\0")
-        at += 10 + size
-    return end + (10 if data[5] & 0x10 else 0)
+        at += lead + size
+    return end + (10 if version == 4 and flags & 0x10 else 0)
 
 
 def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
@@ -129,6 +142,9 @@ def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
         return True
     if data[at + 36 : at + 40] == b"VBRI":
         out.table |= {"kind": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50]), "frames": int.from_bytes(data[at + 50 : at + 54])}
+        n, scale, width = (int.from_bytes(data[y : y + 2]) for y in (at + 54, at + 56, at + 58))
+        if n and width:
+            out.table["toc"] = [scale * int.from_bytes(data[y : y + width]) for y in range(at + 62, at + 62 + n * width, width)]
         return True
     return False
 
@@ -160,6 +176,7 @@ def parse(data: bytes) -> Stream:
             at, in_step = following if following >= 0 else end, False
             continue
         in_step = True
+        out.crc_unread += head.checked and head.layer == 2
         if head.checked and head.layer != 2:
             n = head.side if head.layer == 3 else 16 if head.mono else 32
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]

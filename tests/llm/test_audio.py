@@ -74,3 +74,35 @@ def test_odd_rows(spark):
     scanned = {r["doc_id"]: r for r in audio.scan(audio.encode(odd(spark))).collect()}
     assert scanned[4]["frames"] == len(rows[4]["seek"]) and scanned[4]["tags"]["payload_bytes"] == str(rows[4]["payload_bytes"])
     assert audio.encode(empty(spark)).count() == 0
+
+
+def _number(n, seven):
+    return bytes(n >> s & (127 if seven else 255) for s in ((21, 14, 7, 0) if seven else (24, 16, 8, 0)))
+
+
+def _tag(version, flags, body):
+    return b"ID3" + bytes((version, 0, flags)) + _number(len(body), True) + body
+
+
+@pytest.mark.parametrize("tag", [
+    _tag(2, 0, b"TT2" + (5).to_bytes(3) + b"\0Song" + b"TXX" + (6).to_bytes(3) + b"\0mood\0"),
+    _tag(3, 0x40, _number(6, False) + bytes(6) + b"TIT2" + _number(5, False) + b"\0\0\0Song"),
+    _tag(4, 0x40, _number(6, True) + b"\1\0" + b"TIT2" + _number(5, True) + b"\0\0\3Song"),
+    _tag(3, 0x80, b"TIT2" + _number(7, False) + b"\0\0\1\xff\0\xfeS\0o\0"),
+    _tag(4, 0x10, b"TIT2" + _number(5, True) + b"\0\0\3Song") + b"3DI" + bytes(7),
+])
+def test_tags_of_all_versions(tag):
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    got = audio.parse(tag + frame * 3)
+    assert len(got.offsets) == 3 and got.offsets[0] == len(tag) and got.skipped == 0
+    assert {v for k, v in got.tags.items() if k in ("TIT2", "TT2")} in ({"Song"}, {"So"})
+
+
+def test_seek_table_of_vbri_and_checksums_of_layer_two():
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    table = bytearray(frame)
+    table[36:40], table[50:54], table[54:62] = b"VBRI", (2).to_bytes(4), b"\0\2\0\3\0\2\0\1"
+    table[62:66] = (139).to_bytes(2) + (140).to_bytes(2)
+    assert audio.parse(bytes(table) + frame * 2).table["toc"] == [417, 420]
+    second = b"\xff\xfc\xa4\x00" + bytes(572)
+    assert (audio.parse(second * 3).crc_unread, audio.parse(second * 3).crc_bad) == (3, 0)
