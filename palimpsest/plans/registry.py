@@ -6,14 +6,16 @@ are gone, and some values change.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashes, keys
-from palimpsest.operators import diff, graph, scans, stats, upsert, validate
+from palimpsest.operators import chunking, diff, graph, scans, stats, upsert, validate
 from palimpsest.plans import repository
+from palimpsest.sources.repository import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,22 +241,23 @@ def reconstruct_rows(spark, sf_dir):
     return raw.select(F.get(row, 0).cast("int").alias("n_nationkey"), F.get(row, 1).alias("n_name"), F.get(row, 2).cast("int").alias("n_regionkey"))
 
 
-_CATALOG = "catalog AS (SELECT * FROM (VALUES ('customer', 'c_custkey'), ('nation', 'n_nationkey'), ('orders', 'o_orderkey'), ('region', 'r_regionkey')) AS t(name, primary_key))"
+_TABLES = " UNION ALL ".join(f"SELECT '{t}' AS name, '{k}' AS primary_key, count(*) AS n FROM {t}{' WHERE s_suppkey % 3 <> 0' if t == 'supplier' else ' FULL JOIN (SELECT c_custkey + 2 AS k FROM customer WHERE c_custkey % 4 = 0) ON c_custkey = k' if t == 'customer' else ''}" for t, k in repository.KEYS.items())
 
 
-def _catalog(spark) -> DataFrame:
-    rows = [("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey"), ("region", "r_regionkey")]
-    return spark.createDataFrame([(f"{keys.SCHEMA_PREFIX}{t}", pk) for t, pk in rows], "key string, primary_key string")
+def _tables(spark, sf_dir, names: list[str] | None = None) -> DataFrame:
+    snap = repository.catalog(spark, sf_dir).snapshot()
+    rows = [(t, ",".join(snap.get_table(t).primary_key), snap.count_rows(t)) for t in names or snap.list_tables()]
+    return spark.createDataFrame(rows, "name string, primary_key string, n long")
 
 
-@query(f"WITH {_CATALOG} SELECT name, primary_key FROM catalog ORDER BY name")
+@query(f"{_TABLES} ORDER BY name")
 def list_tables(spark, sf_dir):
-    return scans.ordered(scans.prefix(_catalog(spark), keys.SCHEMA_PREFIX)).select(keys.table_of_schema_key(F.col("key")).alias("name"), "primary_key")
+    return _tables(spark, sf_dir)
 
 
-@query(f"WITH {_CATALOG} SELECT name, primary_key FROM catalog WHERE name = 'orders'")
+@query(f"SELECT * FROM ({_TABLES}) WHERE name = 'supplier'")
 def get_table(spark, sf_dir):
-    return scans.point(_catalog(spark), "/s/orders").select(keys.table_of_schema_key(F.col("key")).alias("name"), "primary_key")
+    return _tables(spark, sf_dir, ["supplier"])
 
 
 # --- upserts --------------------------------------------------------------------------------------
@@ -374,10 +377,6 @@ _EDGES = """edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS
 nodes AS (SELECT 'r' || r_regionkey AS node FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer)"""
 
 
-def _closure(name: str, roots: str) -> str:
-    return f"{name} AS (SELECT node FROM (VALUES {roots}) AS t(node) UNION SELECT child FROM edges JOIN {name} ON parent = node)"
-
-
 def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -390,7 +389,7 @@ def _roots(spark, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_closure('live', chr(40) + chr(39) + 'r1' + chr(39) + '), (' + chr(39) + 'n7' + chr(39) + chr(41))} SELECT node FROM live")
+@query(f"WITH RECURSIVE {_EDGES}, live AS (SELECT node FROM (VALUES ('r1'), ('n7')) AS t(node) UNION SELECT child FROM edges JOIN live ON parent = node) SELECT node FROM live")
 def reachable_nodes(spark, sf_dir):
     edges, _ = _edges(spark, sf_dir)
     return graph.reachable(edges, _roots(spark, "r1", "n7"))
@@ -456,10 +455,11 @@ def resolve_prefix(spark, sf_dir):
     return hit.where(hit.agg(F.count("*")).scalar() == 1)
 
 
-@query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS ord FROM customer WHERE c_custkey = -1""", name="validate_sorted")
-def _validate_sorted(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("ord"), F.floor(F.col("c_custkey") / 1024).alias("chunk"))
-    return validate.out_of_order(rows, "ord", "c_custkey", ["chunk"]).select("c_custkey", "ord")
+@query("""SELECT o_orderkey, o_custkey, previous, CASE WHEN o_custkey = previous THEN 'duplicate' ELSE 'out of order' END AS problem
+FROM (SELECT o_orderkey, o_custkey, lag(o_custkey) OVER (PARTITION BY o_orderkey // 256 ORDER BY o_orderkey) AS previous FROM orders) WHERE o_custkey <= previous""")
+def validate_sorted(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr("o_orderkey div 256").alias("chunk"))
+    return validate.out_of_order(rows, "o_orderkey", "o_custkey", ["chunk"]).drop("chunk")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 5")
@@ -478,21 +478,126 @@ def validate_out_of_order(spark, sf_dir):
 
 @query(f"{VERSIONS} SELECT * FROM old")
 def time_travel_read(spark, sf_dir):
-    return repository.two_commits(spark, *customer_versions(spark, sf_dir)).table("customer", "HEAD~1")
+    return repository.two_commits(spark, *customer_versions(spark, sf_dir), sf_dir).table("customer", "HEAD~1")
 
 
 @query(f"{VERSIONS} SELECT * FROM new")
 def head_read(spark, sf_dir):
-    return repository.two_commits(spark, *customer_versions(spark, sf_dir)).table("customer", "HEAD")
+    return repository.two_commits(spark, *customer_versions(spark, sf_dir), sf_dir).table("customer", "HEAD")
 
 
 @query(f"{_ROW_DIFF} SELECT c_custkey, status, changed FROM changed")
 def pruned_row_diff(spark, sf_dir):
-    repo = repository.two_commits(spark, *customer_versions(spark, sf_dir))
+    repo = repository.two_commits(spark, *customer_versions(spark, sf_dir), sf_dir)
     return repo.row_diff("customer", "HEAD~1", "HEAD").select("c_custkey", "status", F.array_join("changed_columns", ",").alias("changed"))
 
 
 @query("SELECT 'customer' AS \"table\", count(*) AS n_entries FROM customer WHERE c_custkey % 10 <> 7")
 def manifest_counts(spark, sf_dir):
-    repo = repository.two_commits(spark, *customer_versions(spark, sf_dir))
+    repo = repository.two_commits(spark, *customer_versions(spark, sf_dir), sf_dir)
     return repo.manifest("HEAD").groupBy("table").agg(F.sum("n_entries").alias("n_entries"))
+
+
+_HEAD = """batch AS (SELECT c_custkey + 2 AS c_custkey, 'moved' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 = 0),
+head AS (SELECT * FROM batch UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM batch))"""
+
+
+def _head(spark, sf_dir):
+    return repository.catalog(spark, sf_dir).snapshot()
+
+
+@query(f"WITH {_HEAD} SELECT * FROM head")
+def repo_insert_rows(spark, sf_dir):
+    return _head(spark, sf_dir).table("customer")
+
+
+@query("SELECT * FROM supplier WHERE s_suppkey % 3 <> 0")
+def repo_delete_rows(spark, sf_dir):
+    return _head(spark, sf_dir).table("supplier")
+
+
+@query("SELECT '/d/nation/7' AS key, '[' || n_nationkey || ',' || to_json(n_name)::VARCHAR || ',' || n_regionkey || ']' AS value FROM nation WHERE n_nationkey = 7")
+def repo_get(spark, sf_dir):
+    return spark.createDataFrame([("/d/nation/7", _head(spark, sf_dir).get("/d/nation/7"))], "key string, value string")
+
+
+@query(f"WITH {_HEAD} SELECT * FROM head WHERE c_custkey::VARCHAR >= '95'")
+def repo_seek(spark, sf_dir):
+    return _head(spark, sf_dir).seek("customer", "95")
+
+
+@query(f"WITH {_HEAD} SELECT * FROM head WHERE starts_with(c_custkey::VARCHAR, '12')")
+def repo_prefix(spark, sf_dir):
+    return _head(spark, sf_dir).read_rows("customer", "12")
+
+
+@query("SELECT '/d/nation/' || n_nationkey AS key, '[' || n_nationkey || ',' || to_json(n_name)::VARCHAR || ',' || n_regionkey || ']' AS value FROM nation WHERE starts_with(n_nationkey::VARCHAR, '1')")
+def repo_dump(spark, sf_dir):
+    return _head(spark, sf_dir).entries("/d/nation/1")
+
+
+@query(f"""WITH {_HEAD}, counts AS (
+  SELECT 'customer' AS name, count(*) FILTER (c.c_custkey IS NULL) AS added, 0 AS deleted,
+         count(*) FILTER (c.c_custkey IS NOT NULL AND (c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment) IS DISTINCT FROM (h.c_name, h.c_nationkey, h.c_acctbal, h.c_mktsegment)) AS modified
+  FROM head h LEFT JOIN customer c USING (c_custkey)
+  UNION ALL SELECT 'supplier', 0, count(*) FILTER (s_suppkey % 3 = 0), 0 FROM supplier UNION ALL SELECT 'nation', 0, 0, 0 UNION ALL SELECT 'region', 0, 0, 0)
+SELECT * FROM counts""")
+def repo_db_diff(spark, sf_dir):
+    found = repository.catalog(spark, sf_dir).db_diff().counts()
+    return spark.createDataFrame([(t, n["added"], n["deleted"], n["modified"]) for t, n in found.items()], "name string, added long, deleted long, modified long")
+
+
+@query(f"WITH {_HEAD} SELECT * FROM head")
+def repo_push(spark, sf_dir):
+    """What a clone reads after a push."""
+    here = repository.catalog(spark, sf_dir)
+    there = Repository(spark, f"{here.path}-clone-{uuid.uuid4().hex}")
+    here.push(there)
+    return there.table("customer", "main")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def repo_gc(spark, sf_dir):
+    """What is left of a clone whose branch went back a commit, after a collection."""
+    here = repository.catalog(spark, sf_dir)
+    there = Repository(spark, f"{here.path}-gc-{uuid.uuid4().hex}")
+    here.push(there)
+    there.store.set_ref("main", there.resolve("main~1"))
+    there.gc()
+    return there.table("customer", "main")
+
+
+_S = repository.SMALL
+_CUT = f"({{held}} >= {_S.most} OR ({{held}} >= {_S.least} AND mark < floor(least({int(_S.pattern * 2**32)} * pow(2, {{held}}::DOUBLE / {_S.target}), {2**31}))))"
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT row_number() OVER (ORDER BY key) AS i, key, strlen(key) + strlen(value) AS size, ('0x' || substr(sha256(unhex('{_S.seed:08x}') || encode(key)), 1, 8))::BIGINT AS mark,
+         sha256(strlen(key) || ':' || key || strlen(value) || ':' || value) AS digest
+  FROM (SELECT '/d/talk/' || conv_id || '/' || turn AS key, '[' || conv_id || ',' || turn || ',' || to_json(role)::VARCHAR || ']' AS value FROM conversations)
+), walk AS (
+  SELECT i, size AS held, 0 AS leaf, {_CUT.format(held="size")} AS cut FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.i, CASE WHEN w.cut THEN e.size ELSE w.held + e.size END, w.leaf + CASE WHEN w.cut THEN 1 ELSE 0 END, {_CUT.format(held="(CASE WHEN w.cut THEN e.size ELSE w.held + e.size END)")}
+  FROM walk w JOIN e ON e.i = w.i + 1
+)
+SELECT leaf::BIGINT AS ord, min(key) AS first_key, max(key) AS last_key, count(*) AS n_entries, sum(size)::BIGINT AS n_bytes,
+       substr(sha256('{chunking.node_hash(["talk", repository.TALK.json()])}|' || string_agg(digest, '' ORDER BY key)), 1, 32) AS leaf_hash
+FROM walk JOIN e USING (i) GROUP BY leaf""")
+def repo_leaves(spark, sf_dir):
+    """The chunker's leaves, cut in parallel, against one scan."""
+    return repository.talk(spark, sf_dir).snapshot().leaves("talk").drop("table")
+
+
+@query("SELECT count(*) AS problems FROM conversations WHERE conv_id IS NULL AND conv_id = 0")
+def repo_structure(spark, sf_dir):
+    """Faults in the trees of two repositories: separators, order and missing children."""
+    found = [r.snapshot().problems() for r in (repository.talk(spark, sf_dir), repository.catalog(spark, sf_dir))]
+    return found[0].unionByName(found[1]).agg(F.count("*").alias("problems"))
+
+
+@query("SELECT sum(n)::BIGINT AS entries, count(*) AS tables FROM (SELECT count(*) AS n FROM conversations)")
+def repo_stats(spark, sf_dir):
+    """Entries below the leaves' level of node statistics."""
+    snap = repository.talk(spark, sf_dir).snapshot()
+    return snap.stats().where("is_leaf").agg(F.sum("entries").alias("entries")).select("entries", F.lit(len(snap.list_tables())).cast("long").alias("tables"))

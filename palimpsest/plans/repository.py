@@ -1,21 +1,77 @@
-"""A repository with two versions of a table, for the registered queries."""
+"""Repositories made from the driver's tables, for the registered queries; made once a session and folder."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from palimpsest.operators.chunking import Spec
 from palimpsest.sources.repository import Repository
 from palimpsest.sources.staging import shared_dir
 
+#: Chunks so small that the smallest tables have many.
+SMALL = Spec(pattern=0.05, least=256, target=2048, most=8192)
+TALK = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType())])
+KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+_made: dict[tuple, Repository] = {}
 
-def two_commits(spark: SparkSession, old: DataFrame, new: DataFrame, name: str = "customer", key: str = "c_custkey") -> Repository:
-    repo = Repository.init(spark, f"{shared_dir(spark)}/repo-{uuid.uuid4().hex}", spec=Spec(pattern=0.05))
-    for rows, message in ((old, "old"), (new, "new")):
+
+def _once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], Repository]) -> Repository:
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def new(spark: SparkSession, spec: Spec | None = None) -> Repository:
+    return Repository.init(spark, f"{shared_dir(spark)}/repo-{uuid.uuid4().hex}", spec=spec or Spec(pattern=0.05))
+
+
+def two_commits(spark: SparkSession, old: DataFrame, new_rows: DataFrame, sf_dir: str = "", name: str = "customer", key: str = "c_custkey") -> Repository:
+    def make() -> Repository:
+        repo = new(spark)
+        for rows, message in ((old, "old"), (new_rows, "new")):
+            draft = repo.draft()
+            draft.create_table(name, rows.schema, [key])
+            draft.replace_rows(name, rows)
+            draft.commit(message)
+        return repo
+
+    return _once(spark, f"two commits of {name}", sf_dir, make) if sf_dir else make()
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Repository:
+    """Four tables in a first commit; in a second, customers inserted over others, and suppliers deleted."""
+
+    def make() -> Repository:
+        repo = new(spark, SMALL)
+        read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        draft = repo.draft()
+        for name, key in KEYS.items():
+            draft.create_table(name, read(name).schema, [key])
+            draft.insert_rows(name, read(name))
+        draft.commit("load")
+        draft = repo.draft()
+        draft.insert_rows("customer", read("customer").where("c_custkey % 4 = 0").selectExpr("c_custkey + 2 as c_custkey", "'moved' as c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+        draft.delete_rows("supplier", read("supplier").where("s_suppkey % 3 = 0"))
+        draft.commit("change")
+        return repo
+
+    return _once(spark, "catalog", sf_dir, make)
+
+
+def talk(spark: SparkSession, sf_dir: str) -> Repository:
+    """Turns of conversations under a compound key, in small chunks."""
+
+    def make() -> Repository:
+        repo = new(spark, SMALL)
         draft = repo.draft()
-        draft.create_table(name, rows.schema, [key])
-        draft.replace_rows(name, rows)
-        draft.commit(message)
-    return repo
+        draft.create_table("talk", TALK, ["conv_id", "turn"])
+        draft.insert_rows("talk", spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role"))
+        draft.commit("load")
+        return repo
+
+    return _once(spark, "talk", sf_dir, make)
