@@ -75,6 +75,14 @@ def main() -> None:
         detail[f"leaves_{label}"] = repo.diff_stats("HEAD~", "HEAD").first().asDict()
         commit("orders", orders, ["o_orderkey"], f"back from {label}")
 
+    def upsert(share):
+        draft = repo.draft()
+        hit = F.pmod(F.xxhash64("o_orderkey"), F.lit(int(1 / share))) == 0
+        draft.insert_rows("orders", orders.where(hit).withColumn("o_totalprice", F.col("o_totalprice") + 2))
+        return draft.commit("upsert")
+
+    timed("upsert_0.1pct", lambda: upsert(0.001))
+    commit("orders", orders, ["o_orderkey"], "back from upsert")
     timed("prefix_scan", lambda: drain(repo.snapshot().read_rows("lineitem", "12")))
     timed("point_get", lambda: repo.snapshot().get("/d/orders/42"))
     timed("full_scan", lambda: drain(repo.table("lineitem")))
