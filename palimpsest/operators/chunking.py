@@ -146,9 +146,14 @@ def _refold(spec: Spec, carried: dict[int, int], whole: dict[int, int], look: di
     return run
 
 
-def _partitions(rows: DataFrame, measure: Measure) -> int:
+def estimate(rows: DataFrame) -> int:
+    """Bytes of entries, by the optimizer's statistics."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * EXPANSION
+
+
+def _partitions(rows: DataFrame, measure: Measure, size: int | None) -> int:
     """How many range partitions: chunks don't depend on it."""
-    guess = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * EXPANSION
+    guess = estimate(rows) if size is None else size
     if guess > NO_ESTIMATE:
         guess = measure(rows).agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -164,8 +169,8 @@ def hash_leaves(rows: DataFrame, salt: str) -> DataFrame:
     )
 
 
-def chunk(rows: DataFrame, spec: Spec, salt: str, measure: Measure) -> Chunked:
-    """Cut ``rows`` (with _key) into chunks. ``measure`` adds _size, _mark and _digest, from the other columns alone.
+def chunk(rows: DataFrame, spec: Spec, salt: str, measure: Measure, size: int | None = None) -> Chunked:
+    """Cut ``rows`` (with _key) into chunks. ``measure`` adds _size, _mark and _digest, from the other columns alone. ``size``: bytes of entries, where they are known.
 
     One shuffle of the rows, by ranges of their keys; they are written once, as range bounds are
     sampled anew at each evaluation. The tables last as long as the scope they are cut in.
@@ -173,7 +178,7 @@ def chunk(rows: DataFrame, spec: Spec, salt: str, measure: Measure) -> Chunked:
     names = rows.columns
     kept = [*names, "_size"]
     schema = T.StructType([*rows.schema.fields, T.StructField("_size", T.LongType()), T.StructField("_cut", T.LongType()), T.StructField("_leaf", T.StringType()), T.StructField("_bad", T.BooleanType())])
-    ranged = measure(rows.repartitionByRange(_partitions(rows, measure), "_key")).select(*names, "_size", "_mark", "_digest").sortWithinPartitions("_key")
+    ranged = measure(rows.repartitionByRange(_partitions(rows, measure, size), "_key")).select(*names, "_size", "_mark", "_digest").sortWithinPartitions("_key")
     placed = cut(ranged.mapInArrow(_fold(spec, salt, kept), schema).withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
     local = cut(placed.groupBy("_part", "_cut").agg(F.count("*").alias("n_entries"), F.sum("_size").alias("n_bytes"), F.min("_key").alias("first_key"), F.max("_key").alias("last_key"), F.max("_leaf").alias("leaf_hash"), F.max(F.when(F.col("_bad"), F.struct("_key"))).alias("wrong")))
     # of every partition: complete chunks, and the bytes behind the last of them

@@ -19,9 +19,9 @@ def last_wins(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return best.select(*keys, "_row.*").select(batch.columns)
 
 
-def upsert(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``base`` with the rows of ``batch`` (unique by key) in place of its own; both have the same columns."""
-    return base.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+def upsert(base: DataFrame, batch: DataFrame, keys: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+    """``base`` with the rows of ``batch`` (unique by key) in place of its own; both have the same columns. ``rows``: what comes of the batch, if not all."""
+    return base.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch if rows is None else rows)
 
 
 def delete(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:

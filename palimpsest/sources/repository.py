@@ -16,6 +16,7 @@ can hold them, by the manifest's bounds; a difference reads only the leaves not
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import uuid
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import hashes, keys
-from palimpsest.operators import chunking, diff, graph, scans, stats, upsert, validate
+from palimpsest.operators import chunking, diff, graph, incremental, scans, stats, upsert, validate
 from palimpsest.sources.commits import Commit, CommitStore, RefConflict
 from palimpsest.sources.files import Files
 from palimpsest.sources.staging import cut, scratch
@@ -37,10 +38,14 @@ KV = "_kv"
 KV_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 MANIFEST = "table string, leaf_hash string, ord long, first_key string, last_key string, n_entries long, n_bytes long"
 INDEX = "leaf_hash string, write string, write_ord long, n_entries long"
-#: Manifest rows are under 500 bytes; a selection of more leaves is joined by shuffle.
-BROADCAST_LEAVES = 20_000
+#: Names and numbers of leaves are under 100 bytes; a selection of more leaves is joined by shuffle.
+BROADCAST_LEAVES = 200_000
+#: A selection of so few leaves goes to the scan as ranges of keys too, so that Parquet's statistics skip what lies between.
+PRUNED_LEAVES, PRUNED_RANGES = 20_000, 32
 LEAVES_PER_FILE = 250_000
 INTERNAL = ("_key", "_ord", "_write")
+#: Key types with one text for each value, whatever the session's settings: batches on them touch the leaves with these texts only.
+PLAIN_KEYS = (T.StringType, T.IntegralType, T.DecimalType, T.DateType, T.BooleanType)
 
 
 @dataclass(frozen=True)
@@ -73,6 +78,15 @@ def full_key(table: str, info: TableInfo) -> Column:
     return F.col("key") if table == KV else keys.row_key(table, info.primary_key)
 
 
+def _ranges(leaves: DataFrame) -> Column:
+    """Whether a key is in the ranges of these leaves, the closest of them taken together; which rows are theirs is for a join to tell."""
+    found = leaves.select("ord", "first_key", "last_key").orderBy("ord").collect()
+    gaps = sorted(range(1, len(found)), key=lambda i: found[i - 1]["ord"] - found[i]["ord"])
+    starts = [0, *sorted(i for i in gaps[: PRUNED_RANGES - 1] if found[i]["ord"] > found[i - 1]["ord"] + 1), len(found)]
+    each = [F.col("_key").between(F.lit(found[a]["first_key"]), F.lit(found[b - 1]["last_key"])) for a, b in zip(starts, starts[1:], strict=False)]
+    return functools.reduce(Column.__or__, each)
+
+
 def value_text(table: str, info: TableInfo) -> Column:
     return F.col("value") if table == KV else keys.row_json(info.columns)
 
@@ -205,13 +219,34 @@ class Draft:
     base: Snapshot | None
     tables: dict[str, TableInfo] = field(default_factory=dict)
     changed: dict[str, DataFrame] = field(default_factory=dict)
+    #: Instead of ``changed``, where all changes to a table of the base are by key: rows of one key each, _gone for deleted ones.
+    patches: dict[str, DataFrame] = field(default_factory=dict)
+    dropped: set[str] = field(default_factory=set)
+
+    def _based(self, name: str) -> bool:
+        return self.base is not None and name in self.base.tables and name not in self.dropped
+
+    def _patchable(self, name: str) -> bool:
+        info = self.tables[name]
+        plain = all(isinstance(info.schema[c].dataType, PLAIN_KEYS) for c in info.primary_key) and "_gone" not in info.columns
+        return name in self.patches or (plain and name not in self.changed and self._based(name) and self.base.tables[name] == info)
+
+    def _patch(self, name: str, rows: DataFrame) -> None:
+        self.patches[name] = upsert.upsert(self.patches[name], rows, self.tables[name].primary_key) if name in self.patches else rows
+
+    def _set(self, name: str, rows: DataFrame) -> None:
+        self.changed[name] = rows
+        self.patches.pop(name, None)
 
     def _rows(self, name: str) -> DataFrame:
         if name in self.changed:
             return self.changed[name]
         if name not in self.tables:
             raise ValueError(f"table {name!r} does not exist")
-        if self.base and name in self.base.tables:
+        if name in self.patches:
+            patch = self.patches[name]
+            return upsert.upsert(self.base.table(name), patch, self.tables[name].primary_key, patch.where(~F.col("_gone")).drop("_gone"))
+        if self._based(name):
             return self.base.table(name)
         return self.repo.spark.createDataFrame([], self.tables[name].schema)
 
@@ -224,7 +259,7 @@ class Draft:
         old = self._rows(name) if name in self.tables else None
         self.tables[name] = TableInfo(kind, tuple(primary_key), tuple(declared))
         if old is not None:
-            self.changed[name] = old.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in old.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind])
+            self._set(name, old.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in old.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind]))
 
     def insert_rows(self, name: str, rows: DataFrame, order: Sequence[str] | None = None) -> None:
         """Upsert by key. ``order`` tells which of rows with one key is last; without it their keys must be unique."""
@@ -234,19 +269,31 @@ class Draft:
         if order:
             rows = upsert.last_wins(rows, info.primary_key, order)
         fitted = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in info.schema])
-        known = name in self.changed or (self.base and name in self.base.tables)
-        self.changed[name] = upsert.upsert(self._rows(name), fitted, info.primary_key) if known else fitted
+        if self._patchable(name):
+            self._patch(name, fitted.withColumn("_gone", F.lit(False)))
+        else:
+            known = name in self.changed or self._based(name)
+            self._set(name, upsert.upsert(self._rows(name), fitted, info.primary_key) if known else fitted)
 
     def replace_rows(self, name: str, rows: DataFrame) -> None:
         info = self.tables[name]
-        self.changed[name] = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in info.schema])
+        self._set(name, rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in info.schema]))
 
     def delete_rows(self, name: str, gone: DataFrame) -> None:
-        self.changed[name] = upsert.delete(self._rows(name), gone, self.tables[name].primary_key)
+        if name not in self.tables:
+            raise ValueError(f"table {name!r} does not exist")
+        info = self.tables[name]
+        if self._patchable(name) and all(gone.schema[c].dataType == info.schema[c].dataType for c in info.primary_key):
+            whole = gone.select(*info.primary_key).dropna().distinct()
+            self._patch(name, whole.select(*[F.col(f"`{f.name}`") if f.name in info.primary_key else F.lit(None).cast(f.dataType).alias(f.name) for f in info.schema], F.lit(True).alias("_gone")))
+        else:
+            self._set(name, upsert.delete(self._rows(name), gone, info.primary_key))
 
     def drop_table(self, name: str) -> None:
         self.tables.pop(name)
         self.changed.pop(name, None)
+        self.patches.pop(name, None)
+        self.dropped.add(name)
 
     def set(self, entries: DataFrame | Mapping[str, str]) -> None:
         """Upsert plain entries (key, value)."""
@@ -413,7 +460,10 @@ class Repository:
             return self.spark.createDataFrame([], kind)
         rows = self._data([r["write"] for r in asked], kind)
         if any(r["n"] < r["all"] for r in asked):
-            few = sum(r["n"] for r in asked) <= BROADCAST_LEAVES
+            asked_leaves = sum(r["n"] for r in asked)
+            if asked_leaves <= PRUNED_LEAVES:
+                rows = rows.where(_ranges(leaves))
+            few = asked_leaves <= BROADCAST_LEAVES
             rows = rows.join(F.broadcast(placed) if few else placed, ["_write", "_ord"], "left_semi").select(kind.names)
         return rows
 
@@ -431,11 +481,11 @@ class Repository:
         known = draft.base.tables if draft.base else {}
         tables: dict[str, TableInfo] = {}
         for name, info in draft.tables.items():
-            if name not in draft.changed and name in known and known[name] == info:
+            if name not in draft.changed and name not in draft.patches and name in known and known[name] == info:
                 tables[name] = info
                 manifest = manifest.unionByName(draft.base.leaves(name))
                 continue
-            leaves, new_edges, root = self._write_table(name, info, draft._rows(name), spec)
+            leaves, new_edges, root = self._write_table(name, info, draft, spec)
             tables[name] = TableInfo(info.schema, info.primary_key, info.declared, root)
             manifest = manifest.unionByName(leaves.select(F.lit(name).alias("table"), "leaf_hash", "ord", "first_key", "last_key", "n_entries", "n_bytes"))
             edges = edges.unionByName(new_edges)
@@ -450,8 +500,8 @@ class Repository:
             self.files.create(f"snapshots/{root}.json", json.dumps({n: t.to_json() for n, t in tables.items()}))
         return root
 
-    def _write_table(self, name: str, info: TableInfo, rows: DataFrame, spec: chunking.Spec) -> tuple[DataFrame, DataFrame, str]:
-        """Chunk a table and write the leaves that aren't there yet; (leaves, edges, root)."""
+    def _write_table(self, name: str, info: TableInfo, draft: Draft, spec: chunking.Spec) -> tuple[DataFrame, DataFrame, str]:
+        """Chunk a table, or what a batch touches of it, and write the leaves that aren't there yet; (leaves, edges, root)."""
         value = value_text(name, info)
 
         def measure(found: DataFrame) -> DataFrame:
@@ -462,15 +512,27 @@ class Repository:
                 F.coalesce(hashes.entry_digest(F.col("_key"), F.col("_value")), F.lit("0" * chunking.DIGEST)).alias("_digest"),
             )
 
-        made = chunking.chunk(rows.select(*info.columns, full_key(name, info).alias("_key")), spec, chunking.node_hash([name, info.schema.json()]), measure)
+        salt, columns = chunking.node_hash([name, info.schema.json()]), [*info.columns, "_key"]
+        if name in draft.patches:
+            patch = cut(draft.patches[name].select("*", full_key(name, info).alias("_key")))
+            if not patch.where("_key is null").isEmpty():
+                raise ValueError(f"table {name!r}: key None is null or not unique")
+
+            def changed(at: DataFrame) -> DataFrame:
+                """The rows of these leaves, and those of the batch."""
+                return draft.base.keyed(name, at).select(columns).join(patch.select("_key"), "_key", "left_anti").select(columns).unionByName(patch.where(~F.col("_gone")).select(columns))
+
+            leaves, made = incremental.apply(draft.base.leaves(name).drop("table"), patch.select("_key"), changed, spec, salt, measure, chunking.estimate(patch))
+        else:
+            made = chunking.chunk(draft._rows(name).select(*info.columns, full_key(name, info).alias("_key")), spec, salt, measure)
+            leaves = made.leaves
         if made.wrong:
             raise ValueError(f"table {name!r}: key {made.wrong[0]!r} is null or not unique")
-        leaves = made.leaves
-        fresh = cut(leaves.join(self._index().select("leaf_hash").distinct(), "leaf_hash", "left_anti").select("leaf_hash", F.col("ord").alias("_ord"), "n_entries"))
+        fresh = cut(made.leaves.join(self._index().select("leaf_hash").distinct(), "leaf_hash", "left_anti").select("leaf_hash", F.col("ord").alias("_ord"), "n_entries"))
         n = fresh.count()
         if n:
             kept = fresh.select("_ord")
-            self._store(made.rows.join(F.broadcast(kept) if n <= BROADCAST_LEAVES else kept, "_ord", "left_semi").select(made.rows.columns) if n < leaves.count() else made.rows, fresh, n)
+            self._store(made.rows.join(F.broadcast(kept) if n <= BROADCAST_LEAVES else kept, "_ord", "left_semi").select(made.rows.columns) if n < made.leaves.count() else made.rows, fresh, n)
         root, edges = chunking.tree(self.spark, leaves, spec, chunking.node_hash(["empty", name]))
         return leaves, edges, root
 
