@@ -39,9 +39,13 @@ def log(spark, args):
 
 
 def import_sqlite(spark, args):
-    commit, counts = imports.import_database(_open(spark, args), args.database, args.tables, merge=args.merge, message=args.message, author=_author(args))
-    for name, n in counts.items():
-        print(f"{name}: {n} rows" if n else f"{name}: empty, skipped")
+    def tell(p: imports.Progress) -> None:
+        if not p.table:
+            print(f"written: {p.all_rows} rows in {p.all_seconds:.1f} s, {p.all_rows / max(p.all_seconds, 1e-9):.0f} rows/s")
+        else:
+            print(f"{p.table}: {p.rows} rows, {p.all_rows} in all" if p.rows else f"{p.table}: empty, skipped")
+
+    commit, counts = imports.import_database(_open(spark, args), args.database, args.tables, merge=args.merge, message=args.message, author=_author(args), progress=tell)
     print(f"Committed {commit[:12]}: {sum(counts.values())} rows")
 
 

@@ -416,43 +416,48 @@ def push_set(spark, sf_dir):
     return graph.push_set(edges, _roots(spark, "r1", "r2"), _roots(spark, "r1"))
 
 
-# commits 1..60: commit h has the parents h - 1 and, if h is a multiple of 5, h - 3 as well
-_COMMITS = """commits AS (SELECT h::INTEGER AS h, sha256(h::VARCHAR) AS hash, 1700000000.0 + h * 10 AS ts FROM range(1, 61) AS t(h)),
-parents AS (SELECT h, h - 1 AS p FROM commits WHERE h > 1 UNION ALL SELECT h, h - 3 FROM commits WHERE h % 5 = 0)"""
-_WALK = f"WITH RECURSIVE {_COMMITS}, seen AS (SELECT 47 AS h UNION SELECT p FROM parents JOIN seen USING (h))"
-
-
-def _commit_graph() -> dict[str, tuple[float, list[str]]]:
-    import hashlib
-
-    name = lambda h: hashlib.sha256(str(h).encode()).hexdigest()
-    return {name(h): (1_700_000_000.0 + h * 10, [name(p) for p in ([h - 1] if h > 1 else []) + ([h - 3] if h % 5 == 0 else [])]) for h in range(1, 61)}
-
+# a commit for each nation, above the one before it and, for keys that 5 divides, above the third before it as well
+_JSON = """sha256('{"author": "me", "message": ' || to_json(n_name) || ', "parents": [' || %s || '], "pattern": 0.01, "seed": 42, "timestamp": ' || (1700000000 + n_nationkey * 10) || '.0, "tree_root": "' || n_regionkey || '"}')"""
+_COMMITS = f"""WITH RECURSIVE chain AS (
+  SELECT n_nationkey AS k, n_name AS message, {_JSON % "''"} AS hash, NULL::VARCHAR AS one, NULL::VARCHAR AS two FROM nation WHERE n_nationkey = 0
+  UNION ALL
+  SELECT n_nationkey, n_name, {_JSON % """'"' || hash || '"' || CASE WHEN n_nationkey % 5 = 0 THEN ', "' || two || '"' ELSE '' END"""}, hash, one FROM chain JOIN nation ON n_nationkey = k + 1
+), commits AS (SELECT k, message, hash, (1700000000 + k * 10)::DOUBLE AS ts FROM chain),
+parents AS (SELECT k, k - 1 AS p FROM commits WHERE k > 0 UNION ALL SELECT k, k - 3 FROM commits WHERE k > 0 AND k % 5 = 0),
+seen AS (SELECT 17 AS k UNION SELECT p FROM parents JOIN seen USING (k)),
+walked AS (SELECT row_number() OVER (ORDER BY ts DESC, hash) - 1 AS ord, hash, message, ts FROM seen JOIN commits USING (k))"""
 
-def _walked(spark, limit: int | None = None) -> DataFrame:
-    import hashlib
-    from itertools import islice
 
-    commits = _commit_graph()
-    found = islice(graph.walk([hashlib.sha256(b"47").hexdigest()], commits.get), limit)
-    return spark.createDataFrame([(i, h, commits[h][0]) for i, h in enumerate(found)], "ord long, hash string, ts double")
+def _log(spark, sf_dir, limit: int | None = None) -> DataFrame:
+    repo, names = repository.history(spark, sf_dir)
+    return repo.log_frame(names[17], limit).select("ord", "hash", "message", F.col("timestamp").alias("ts"))
 
 
-@query(f"{_WALK} SELECT row_number() OVER (ORDER BY ts DESC, hash) - 1 AS ord, hash, ts::DOUBLE AS ts FROM seen JOIN commits USING (h)")
+@query(f"{_COMMITS} SELECT * FROM walked")
 def commit_walk(spark, sf_dir):
-    return _walked(spark)
+    return _log(spark, sf_dir)
 
 
-@query(f"{_WALK} SELECT row_number() OVER (ORDER BY ts DESC, hash) - 1 AS ord, hash, ts::DOUBLE AS ts FROM seen JOIN commits USING (h) ORDER BY ord LIMIT 5")
+@query(f"{_COMMITS} SELECT * FROM walked ORDER BY ord LIMIT 5")
 def log_limit(spark, sf_dir):
-    return _walked(spark, 5)
+    return _log(spark, sf_dir, 5)
+
 
+@query(f"""{_COMMITS}, last AS (SELECT max(k) AS k FROM commits)
+SELECT 'nations' AS ref, hash FROM commits SEMI JOIN last USING (k) UNION ALL SELECT 'nations~', hash FROM commits WHERE k = (SELECT k - 1 FROM last)
+UNION ALL SELECT 'nations~4', hash FROM commits WHERE k = (SELECT k - 4 FROM last) UNION ALL SELECT 'nations~99', NULL UNION ALL SELECT 'nowhere', NULL
+UNION ALL SELECT upper(c.hash[:12]), c.hash FROM commits c""")
+def resolve_refs(spark, sf_dir):
+    """Names, ancestors and beginnings of hashes, in capitals; two that lead nowhere."""
+    repo, names = repository.history(spark, sf_dir)
+    refs = ["nations", "nations~", "nations~4", "nations~99", "nowhere", *(h[:12].upper() for h in names)]
+    return spark.createDataFrame([(r, repo.resolve(r)) for r in refs], "ref string, hash string")
 
-@query(f"WITH {_COMMITS}, hit AS (SELECT hash FROM commits WHERE starts_with(hash, lower('4B22'))) SELECT hash FROM hit WHERE (SELECT count(*) FROM hit) = 1")
-def resolve_prefix(spark, sf_dir):
-    commits = spark.createDataFrame([(h,) for h in _commit_graph()], "hash string")
-    hit = commits.where(F.col("hash").startswith("4B22".lower()))
-    return hit.where(hit.agg(F.count("*")).scalar() == 1)
+
+@query(f"{_COMMITS} SELECT 'nations' AS name, hash FROM commits WHERE k = (SELECT max(k) FROM commits) UNION ALL SELECT 'early', hash FROM commits WHERE k = (SELECT max(k) - 6 FROM commits)")
+def list_branches(spark, sf_dir):
+    repo, _ = repository.history(spark, sf_dir)
+    return spark.createDataFrame([(n, h) for n, h in repo.list_branches().items() if n != "main"], "name string, hash string")
 
 
 @query("""SELECT o_orderkey, o_custkey, previous, CASE WHEN o_custkey = previous THEN 'duplicate' ELSE 'out of order' END AS problem
@@ -567,6 +572,19 @@ def repo_gc(spark, sf_dir):
     return there.table("customer", "main")
 
 
+@query("SELECT 'nation' AS name, n_nationkey AS k, n_name AS label FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region UNION ALL SELECT 'visits', row_number() OVER (ORDER BY n_nationkey), n_name FROM nation")
+def sqlite_import(spark, sf_dir):
+    """Two tables with keys and one without, from a SQLite file, as a commit holds them."""
+    snap = repository.imported(spark, sf_dir).snapshot()
+    parts = [snap.table(t).select(F.lit(t).alias("name"), F.col(k).cast("long").alias("k"), F.col(v).alias("label")) for t, k, v in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("visits", "rowid", "who"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT '/d/nation/' || n_nationkey AS key, '[' || n_nationkey || ',' || to_json(n_name)::VARCHAR || ',' || n_regionkey || ']' AS value FROM nation")
+def sqlite_import_dump(spark, sf_dir):
+    return repository.imported(spark, sf_dir).snapshot().entries("/d/nation/")
+
+
 _S = repository.SMALL
 _CUT = f"({{held}} >= {_S.most} OR ({{held}} >= {_S.least} AND mark < floor(least({int(_S.pattern * 2**32)} * pow(2, {{held}}::DOUBLE / {_S.target}), {2**31}))))"
 

@@ -6,6 +6,11 @@ are refused here::
     [remotes.origin]
     type = "file"        # or "hadoop", for any URL
     path = "/srv/warehouse"
+
+    [remotes.backup]
+    type = "s3"          # s3a://tables/shop, with Hadoop's credentials for the bucket
+    bucket = "tables"
+    prefix = "shop"      # may be left out
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from palimpsest.sources.files import Files
+from palimpsest.sources.files import CachedFiles, Files
 from palimpsest.sources.repository import Repository
 
 
@@ -38,11 +43,13 @@ def load(text: str) -> dict[str, Remote]:
     for name, spec in found.items():
         if secret := [k for k in spec if "secret" in k or "access_key" in k]:
             raise ValueError(f"remote {name!r}: {', '.join(secret)} must not be stored here")
-        if spec.get("type") not in ("file", "hadoop"):
-            raise ValueError(f"remote {name!r}: type must be file or hadoop, not {spec.get('type')!r}")
-        if not spec.get("path"):
-            raise ValueError(f"remote {name!r}: path is missing")
-        out[name] = Remote(name, spec["type"], spec["path"])
+        kind = spec.get("type")
+        if kind not in ("file", "hadoop", "s3"):
+            raise ValueError(f"remote {name!r}: type must be file, hadoop or s3, not {kind!r}")
+        if not spec.get("bucket" if kind == "s3" else "path"):
+            raise ValueError(f"remote {name!r}: {'bucket' if kind == 's3' else 'path'} is missing")
+        path = "/".join(p.strip("/") for p in ("s3a://" + spec["bucket"], spec.get("prefix", "")) if p.strip("/")) if kind == "s3" else spec["path"]
+        out[name] = Remote(name, kind, path)
     return out
 
 
@@ -51,7 +58,10 @@ def load_file(path: str) -> dict[str, Remote]:
 
 
 def path_of(spec: str) -> str:
-    """The path of a store's name: ``:memory:`` (a temporary folder of this machine), ``file://...``, ``cached-file://...``, ``s3a://...`` and other URLs with a Hadoop file system."""
+    """The path of a store's name: ``:memory:`` (a temporary folder of this machine), ``file://...``, ``cached-file://...``, ``s3a://...`` and other URLs with a Hadoop file system.
+
+    Rows of a cached store are Parquet files, which the operating system's page cache holds; ``files_of`` keeps the texts of its commits.
+    """
     if spec == ":memory:":
         return "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     if spec.startswith("cached-file://"):
@@ -62,4 +72,6 @@ def path_of(spec: str) -> str:
 
 
 def files_of(spark: SparkSession, spec: str) -> Files:
-    return Files(spark, path_of(spec))
+    if spec == ":memory:" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(":memory: is a folder of this machine, which executors of a cluster don't see")
+    return (CachedFiles if spec.startswith("cached-file://") else Files)(spark, path_of(spec))

@@ -4,6 +4,7 @@ import os
 import sqlite3
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from palimpsest import cli
@@ -11,6 +12,7 @@ from palimpsest.operators import diff
 from palimpsest.operators.chunking import Spec
 from palimpsest.sources import imports, remotes, sqlite
 from palimpsest.sources.commits import Commit, CommitStore, MemoryFiles, RefConflict
+from palimpsest.sources.files import Files
 from palimpsest.sources.repository import Repository
 from palimpsest.streaming import commits as streams
 
@@ -261,6 +263,10 @@ def test_remote_settings():
     for bad in ('[remotes.o]\ntype="ftp"\npath="x"', '[remotes.o]\ntype="file"', '[remotes.o]\ntype="file"\npath="x"\nsecret_access_key="k"'):
         with pytest.raises(ValueError):
             remotes.load(bad)
+    got = remotes.load('[remotes.a]\ntype = "s3"\nbucket = "tables"\nprefix = "/shop/"\n[remotes.b]\ntype = "s3"\nbucket = "tables"')
+    assert got["a"].path == "s3a://tables/shop" and got["b"].path == "s3a://tables"
+    with pytest.raises(ValueError, match="bucket"):
+        remotes.load('[remotes.o]\ntype = "s3"\npath = "x"')
     with pytest.raises(ValueError):
         remotes.path_of("what")
     assert remotes.path_of("cached-file:///x") == "file:///x" and remotes.path_of(":memory:").startswith("file:///")
@@ -312,3 +318,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert "+ table stations (3 rows" in run("db-diff", "HEAD~2", "HEAD~1") and "no changes" in run("db-diff")
     assert "0 would be removed" in run("gc", "--dry-run")
     assert "Pushed" in run("push", str(tmp_path / "remote")) and "Pulled 0 commits" in run("pull", str(tmp_path / "remote"))
+
+
+def test_exclusive_creation_by_renaming(spark, tmp_path):
+    files = Files(spark, f"file://{tmp_path}")
+    files.local, files.scheme = None, "hdfs"  # the way of such file systems, on this disk
+    assert files.create("refs/main/0", "a") and not files.create("refs/main/0", "b")
+    assert files.read("refs/main/0") == "a" and files.list("refs/main") == ["0"]
+    with pytest.raises(Py4JJavaError):  # a writer that did not see the other's file
+        files._rename("refs/main/0", "b", replace=False)
+    files.write("HEAD", "main")
+    files.write("HEAD", "dev")
+    assert files.read("HEAD") == "dev" and files.list("refs/main") == ["0"]
+    files.scheme = "ftp"
+    with pytest.raises(NotImplementedError):
+        files.create("refs/main/1", "c")
+
+
+def test_cached_files_remember_commits_only(spark, tmp_path):
+    files = remotes.files_of(spark, f"cached-file://{tmp_path}")
+    files.create("commits/a.json", "1")
+    files.create("refs/main/0", "a")
+    assert files.read("commits/a.json") == "1" and files.read("refs/main/0") == "a"
+    (tmp_path / "commits/a.json").unlink()
+    (tmp_path / "refs/main/0").write_text("b")
+    assert files.read("commits/a.json") == "1" and files.read("refs/main/0") == "b" and files.read("commits/b.json") is None
+    files.delete("commits")
+    files.create("commits/a.json", "2")
+    files.delete("commits/a.json")
+    assert files.read("commits/a.json") is None
+
+
+def test_import_tells_of_its_progress(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    make_sqlite(path)
+    told = []
+    imports.import_database(Repository.init(spark, str(tmp_path / "repo"), "me"), path, progress=told.append)
+    assert [(p.table, p.rows, p.all_rows) for p in told] == [("departures", 3, 3), ("remarks", 3, 6), ("stations", 3, 9), ("unused", 0, 9), ("", 9, 9)]
+    assert all(p.rate >= 0 and p.all_seconds >= p.seconds >= 0 for p in told)
