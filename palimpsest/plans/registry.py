@@ -589,7 +589,7 @@ _S = repository.SMALL
 _CUT = f"({{held}} >= {_S.most} OR ({{held}} >= {_S.least} AND mark < floor(least({int(_S.pattern * 2**32)} * pow(2, {{held}}::DOUBLE / {_S.target}), {2**31}))))"
 
 
-@query(f"""WITH RECURSIVE e AS (
+_LEAVES = f"""WITH RECURSIVE e AS (
   SELECT row_number() OVER (ORDER BY key) AS i, key, strlen(key) + strlen(value) AS size, ('0x' || substr(sha256(unhex('{_S.seed:08x}') || encode(key)), 1, 8))::BIGINT AS mark,
          sha256(strlen(key) || ':' || key || strlen(value) || ':' || value) AS digest
   FROM (SELECT '/d/talk/' || conv_id || '/' || turn AS key, '[' || conv_id || ',' || turn || ',' || to_json(role)::VARCHAR || ']' AS value FROM conversations)
@@ -598,7 +598,10 @@ _CUT = f"({{held}} >= {_S.most} OR ({{held}} >= {_S.least} AND mark < floor(leas
   UNION ALL
   SELECT e.i, CASE WHEN w.cut THEN e.size ELSE w.held + e.size END, w.leaf + CASE WHEN w.cut THEN 1 ELSE 0 END, {_CUT.format(held="(CASE WHEN w.cut THEN e.size ELSE w.held + e.size END)")}
   FROM walk w JOIN e ON e.i = w.i + 1
-)
+)"""
+
+
+@query(f"""{_LEAVES}
 SELECT leaf::BIGINT AS ord, min(key) AS first_key, max(key) AS last_key, count(*) AS n_entries, sum(size)::BIGINT AS n_bytes,
        substr(sha256('{chunking.node_hash(["talk", repository.TALK.json()])}|' || string_agg(digest, '' ORDER BY key)), 1, 32) AS leaf_hash
 FROM walk JOIN e USING (i) GROUP BY leaf""")
@@ -607,11 +610,16 @@ def repo_leaves(spark, sf_dir):
     return repository.talk(spark, sf_dir).snapshot().leaves("talk").drop("table")
 
 
-@query("SELECT count(*) AS problems FROM conversations WHERE conv_id IS NULL AND conv_id = 0")
+@query(f"""{_LEAVES}
+SELECT 'talk' AS tree, 0 AS problems UNION ALL SELECT 'catalog', 0 UNION ALL SELECT 'talk without every third leaf', count(DISTINCT leaf) FROM walk WHERE leaf % 3 = 0""")
 def repo_structure(spark, sf_dir):
-    """Faults in the trees of two repositories: separators, order and missing children."""
-    found = [r.snapshot().problems() for r in (repository.talk(spark, sf_dir), repository.catalog(spark, sf_dir))]
-    return found[0].unionByName(found[1]).agg(F.count("*").alias("problems"))
+    """Faults in trees (separators, order, missing children): none in sound ones, and a missing child for each leaf that is taken out."""
+    snap = repository.talk(spark, sf_dir).snapshot()
+    gone = snap.leaves("talk").where("ord % 3 = 0").select(F.col("leaf_hash").alias("node_hash"))
+    damaged = validate.node_problems(snap.nodes().where("is_leaf").join(gone, "node_hash", "left_anti"), snap.edges().where("level = 1")).where("problem = 'missing child'")
+    found = {"talk": snap.problems(), "catalog": repository.catalog(spark, sf_dir).snapshot().problems(), "talk without every third leaf": damaged}
+    parts = [frame.agg(F.count("*").alias("problems")).select(F.lit(name).alias("tree"), "problems") for name, frame in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT sum(n)::BIGINT AS entries, count(*) AS tables FROM (SELECT count(*) AS n FROM conversations)")
