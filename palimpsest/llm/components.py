@@ -1,4 +1,10 @@
-"""Connected components of links between keys, by alternating large-star and small-star steps (Kiveris et al. 2014)."""
+"""Connected components of links between keys, by alternating large-star and small-star steps (Kiveris et al. 2014).
+
+A step gives every link the least neighbour of its key. Links of a key that has over ``MOST_LINKS`` (and
+over a thousandth of all) are spread over several tasks, and its least neighbour is copied to each. A step
+makes no more links than it gets, so that there are at most 2,000 such keys, whatever the input: these
+are broadcast.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +13,29 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
+#: Links of one key that a task joins.
+MOST_LINKS = 20_000
+
+
+def _beside_least(links: DataFrame, most: int) -> DataFrame:
+    """(a, b, least): links with the least b of their a."""
+    least = links.groupBy("a").agg(F.min("b").alias("least"), F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    hot = F.broadcast(least.where("parts > 1").select("a", "parts"))
+    dealt = links.join(hot, "a", "left").select("a", "b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int").alias("part"))
+    copies = least.select("a", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(copies, ["a", "part"]).select("a", "b", "least")
+
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, most: int) -> DataFrame:
     """Each key's larger neighbours hang on the least of its neighbours and itself; links may repeat."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).where("a <> b")
+    return _beside_least(both, most).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).where("a <> b")
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, most: int) -> DataFrame:
     """Each key and its smaller neighbours hang on the least of these; ``edges`` lead from the larger key."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    return edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
+    hung = _beside_least(edges, most).select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+    return hung.where("a <> b").distinct()
 
 
 def _is_star(edges: DataFrame) -> bool:
@@ -28,11 +45,12 @@ def _is_star(edges: DataFrame) -> bool:
     return per_key.where("down > 1 or (down = 1 and least = 0)").isEmpty()
 
 
-def components(links: DataFrame, most_turns: int = 200) -> DataFrame:
+def components(links: DataFrame, most_turns: int = 200, most_links: int = MOST_LINKS) -> DataFrame:
     """(key, root): every key that links (a, b) name but the roots, each with the least key of its component. The links may repeat and go either way."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    most = max(most_links, edges.count() // 1000)
     for _ in range(most_turns):
-        edges = common.stage(_small(_large(edges)), "edges")
+        edges = common.stage(_small(_large(edges, most), most), "edges")
         if _is_star(edges):
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
     raise RuntimeError(f"links are not resolved after {most_turns} turns")

@@ -70,9 +70,11 @@ def test_words():
     assert words[0] == other[0] and words[1] == other[1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most_links", [components.MOST_LINKS, 3])
+def test_components(spark, most_links):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    links += [(3000, i) for i in range(2900, 3200)] + [(3100, 3300), (3300, 3300)]  # a hub in the middle of its neighbours
     root = {}
 
     def find(x):
@@ -83,8 +85,9 @@ def test_components(spark):
     for a, b in links:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r["key"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in list(root) if find(x) != x}
+    found = components.components(spark.createDataFrame(links, "a long, b long"), most_links=most_links).collect()
+    got = {r["key"]: r["root"] for r in found}
+    assert len(got) == len(found) and got == {x: find(x) for x in list(root) if find(x) != x}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
